@@ -34,7 +34,7 @@ def targets(sized: DataFrame) -> DataFrame:
     order = "(order by cap / weight, source asc nulls last rows between unbounded preceding and 1 preceding)"
     level = f"(total - coalesce(sum(cap) over {order}, 0D)) / (sum(weight) over () - coalesce(sum(weight) over {order}, 0D))"
     ranked = ranked.withColumn("level", F.expr(level)).withColumn("filled", F.expr("level > cap / weight"))
-    ranked = ranked.withColumn("level", F.expr("min_by(level, cap / weight) filter (where not filled) over ()"))
+    ranked = ranked.withColumn("level", F.expr("(min(if(filled, null, struct(cap / weight as reach, level as level))) over ()).level"))
     return ranked.select("source", "source_size", "docs", F.expr("least(cap, coalesce(level, 0D) * weight)").alias("target"))
 
 
