@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, lines, media, minhash, mixing, pii, quality
+from . import ann, bpe, chat, lines, media, minhash, mixing, pii, quality, suffix
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"), words=2)
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_minhash": op3_minhash,
+    "op4_suffix": op4_suffix,
     "op5_chat": op5_chat,
     "op6_media": op6_media,
     "op7_lines": op7_lines,
