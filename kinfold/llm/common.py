@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +12,25 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that a lost
-    executor costs no recomputation. Only where no folder is set, as in tests, a local one is."""
+def folder(df: DataFrame) -> str:
+    """The shared checkpoint folder, set now where none is."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again."""
+    path = f"{folder(df)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there, so that a lost
+    executor costs no recomputation. Only where no folder is set, as in tests, a local one is."""
+    folder(df)
     return df.checkpoint(eager=True)
 
 

@@ -9,7 +9,7 @@ the occurrence in the smallest document stays; all others go.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small
@@ -47,23 +47,20 @@ def spread(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return cut(sure.select("h1", "h2", "keeper").unionByName(exact.select("h1", "h2", "keeper")))
 
 
-def marked(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(doc_id, k1, k2, text, drop): drop holds the positions of the lines to remove, or null."""
-    rows = _keyed(docs, id_col, text_col, site_col)
+def dropped(rows: DataFrame, sites: int = SITES) -> DataFrame:
+    """(k1, k2, drop): the positions of the lines to remove, for rows that have such lines."""
     lines = _lines(rows)
     common = spread(lines, sites)
     hits = lines.join(small(common, common.count()), ["h1", "h2"])
-    # Keeper's first occurrence stays: one partial aggregate per document and line, then all else of it goes.
+    # of the keeper's occurrences the first stays
     per = hits.groupBy("k1", "k2", "h1", "h2").agg(F.collect_set("pos").alias("at"), F.first("doc_id", True).alias("doc_id"), F.first("keeper", True).alias("keeper"))
     gone = F.when(F.col("doc_id") == F.col("keeper"), F.slice(F.array_sort("at"), 2, F.size("at"))).otherwise(F.col("at"))
-    drops = per.select("k1", "k2", gone.alias("at")).where(F.size("at") > 0).groupBy("k1", "k2").agg(F.flatten(F.collect_list("at")).alias("drop"))
-    return rows.join(drops.hint("shuffle_hash"), ["k1", "k2"], "left")
+    return per.select("k1", "k2", gone.alias("at")).where(F.size("at") > 0).groupBy("k1", "k2").agg(F.flatten(F.collect_list("at")).alias("drop"))
 
 
-def _kept() -> F.Column:
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("drop"), i))
-    return F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+def _kept(text: Column, drop: Column) -> Column:
+    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(drop, i))
+    return F.when(drop.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -75,16 +72,30 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", tex
     site is one site, a null id never is the smallest; repeated rows are decided alike; an
     empty table gives an empty result.
     """
-    rows = marked(docs, sites, id_col, text_col, site_col)
+    rows = _keyed(docs, id_col, text_col, site_col)
+    rows = rows.join(dropped(rows, sites).hint("shuffle_hash"), ["k1", "k2"], "left")
     removed = F.coalesce(F.size("drop"), F.lit(0))
     return rows.select(
         F.col("doc_id").alias(id_col),
         F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
         F.when(F.col("drop").isNull(), 0).otherwise(removed).cast("bigint").alias("n_removed"),
-        _kept().alias("text"),
+        _kept(F.col("text"), F.col("drop")).alias("text"),
     )
 
 
+def rewrite(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
+    """``docs``, all rows and columns, with the texts that :func:`dedup_lines` gives; a text that
+    loses nothing stays as it is, null included. ``chars_col``, if there is one, is set to a
+    changed text's length."""
+    keys = _keyed(docs, id_col, text_col, site_col)
+    whole = docs.select(F.struct("*").alias("row")).withColumns({"id": F.col(f"row.{id_col}"), "text": F.coalesce(F.col(f"row.{text_col}"), F.lit(""))})
+    whole = whole.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64(F.lit(1), "text", "id")}).drop("id", "text")
+    joined = whole.join(dropped(keys, sites).hint("shuffle_hash"), ["k1", "k2"], "left")
+    text = _kept(F.col(f"row.{text_col}"), F.col("drop"))
+    new = {text_col: text} | ({chars_col: F.when(F.col("drop").isNull(), F.col(f"row.{chars_col}")).otherwise(F.char_length(text)).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    return joined.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, n_lines, n_removed, n_chars and kept_sha256 of what stays."""
     out = dedup_lines(docs)

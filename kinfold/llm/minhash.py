@@ -279,3 +279,18 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     out = prints.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).withColumn("component_id", F.expr("if(doc_id is null, null, component_id)"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of the documents that :func:`link` keeps: of each group
+    the one with the smallest id. Of repeated rows of an id one stays; rows without an id stay."""
+    linked = cut(link(docs, words, percent, id_col, text_col))
+    gone = linked.where("not kept").select("doc_id").distinct()
+    gone = F.broadcast(gone) if linked.where("not kept").count() <= BROADCAST_ROWS else gone
+    whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.struct("*").alias("row"))
+    left = whole.join(gone, "doc_id", "left_anti")
+    twice = cut(linked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if twice.count():
+        once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        left = left.join(twice, "doc_id", "left_anti").unionByName(once)
+    return left.select("row.*")
