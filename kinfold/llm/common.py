@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes up to which a counted table may be broadcast.
@@ -27,11 +27,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there, so that a lost
-    executor costs no recomputation. Only where no folder is set, as in tests, a local one is."""
+    executor costs no recomputation. Only where no folder is set, as in tests, a local one is.
+
+    The rows are counted as they are written; reading them takes no more tasks than one for
+    ``rows`` rows, so that a small table does not go on in hundreds of near-empty pieces."""
     folder(df)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    done = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return done.coalesce(max(1, -(-seen.get["n"] // rows)))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

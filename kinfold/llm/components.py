@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges per task between the steps of a round.
+ROWS = 100_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first())
@@ -23,12 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("u <> v").selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct())
     state = _state(edges)
     while state[0]:
+        tasks = max(1, state[0] // ROWS)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
-        large = both.where("v > u").join(least, "u").where("v <> m").selectExpr("v as u", "m as v").distinct()
+        large = both.where("v > u").join(least, "u").where("v <> m").selectExpr("v as u", "m as v").coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").selectExpr("v as u", "m as v")
-        edges = cut(small.union(least.selectExpr("u", "m as v")).selectExpr("greatest(u, v) as u", "least(u, v) as v").where("u <> v").distinct())
+        edges = cut(small.union(least.selectExpr("u", "m as v")).selectExpr("greatest(u, v) as u", "least(u, v) as v").where("u <> v").coalesce(tasks).distinct())
         state, before = _state(edges), state
         if state == before:
             break

@@ -168,7 +168,7 @@ def _sets(asked: DataFrame, docs: DataFrame, words: int, id_col: str, text_col:
             for batch in _columns(whole, 500):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["key", "s"])
 
-    return cut(texts.mapInArrow(sets, "key bigint, s binary").groupBy("key").agg(F.min("s").alias("s")))
+    return cut(texts.mapInArrow(sets, "key bigint, s binary").groupBy("key").agg(F.min("s").alias("s")), 10_000)
 
 
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -240,10 +240,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     the id stands for them all. A null id is linked with nothing and kept: its component is
     null. An empty table gives an empty result.
     """
-    prints = cut(sketches(docs, words, id_col, text_col))
+    prints = cut(sketches(docs, words, id_col, text_col), 20_000)
     known = prints.where("n > 0 and doc_id is not null")
     classes = known.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r"))
-    classes = cut(classes.select("f1", "f2", F.col("r.doc_id").alias("id"), "r.n", "r.sketch"))
+    classes = cut(classes.select("f1", "f2", F.col("r.doc_id").alias("id"), "r.n", "r.sketch"), 20_000)
     keys = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {2 * BUCKETS // BANDS} + 1, {2 * BUCKETS // BANDS}))))")
     bands = classes.select("id", keys.alias("key"))
     hubs = bands.groupBy("key").agg(F.min("id").alias("one"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("two"), F.count("*").alias("size"))
