@@ -2,5 +2,342 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold.functions import codecs, gauss, transforms, vectors
+from kinfold.operators import encoder as enc
+from kinfold.operators import index as idx
+from kinfold.operators.signature import planes, sign, sums
+from kinfold.operators.vocabulary import Vocabulary, field_terms, learn
+from kinfold.sources import delimited
+
+from .definitions import FieldDef, SchemaDef, SourceDef, Transform
+
+UP, SPLIT = Transform("upcase"), Transform("split")
+NAME, TYPE, BRAND = FieldDef(("p_name",), (UP, SPLIT)), FieldDef(("p_type",)), FieldDef(("p_brand", "p_type"), (Transform("killafter", {"sep": "#"}), Transform("substr", {"begin": 0, "end": 5})))
+PARTS = SchemaDef(64, 8, (NAME, TYPE, BRAND))
+TAIL = SchemaDef(60, 7, (NAME, TYPE))
+CUSTOMERS = SchemaDef(32, 8, (FieldDef(("c_name",)), FieldDef(("c_mktsegment",))))
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_brand")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new path in the folder that the executors share; a local one only where none is set."""
+    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+
+
+# Scans and projections
+
+
+def scan_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    rows = _read(spark, sf_dir, "customer").select("c_name", "c_custkey", "c_mktsegment")
+    rows.write.csv(path, header=False, escape='"')
+    return delimited.read(spark, SourceDef({"segment": 3, "name": 1}, id_column=2, glob=f"{path}/*.csv"))
+
+
+def csv_quotes_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    text = '\n1,"a ""b"", c",x\n2,,"two\nlines"\n\n4294967295,"",\'\n'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return delimited.read(spark, SourceDef({"first": 2, "last": 3}, glob=f"{path}/*.txt"))
+
+
+def concat_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "customer")
+    return rows.select("c_custkey", transforms.joined(("c_mktsegment", "absent", "c_name"), rows.columns).alias("joined"))
+
+
+def _transformed(table: str, key: str, attr: str, *steps: Transform):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _read(spark, sf_dir, table)
+        return rows.select(key, F.posexplode(transforms.terms(FieldDef((attr,), steps), rows.columns)).alias("pos", "term"))
+
+    return query
+
+
+def xf_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("\t  \n"), "p_name", F.lit("  ")).alias("padded"))
+    return rows.select("p_partkey", F.posexplode(transforms.terms(FieldDef(("padded",), (Transform("trim"),)), rows.columns)).alias("pos", "term"))
+
+
+#: Names and how they split.
+NAMES = ["ST CLAIR", "ST CLAIR-JONES", "DEL RAY", "DUFF HESTER", "ROSADO DE GRACIA", "CONNOLLY-MC LEISH", "DU BRUCQ", "VAN NUYS- CRUZ", "OSBORNE - BARTON", "SAINT VIL-COACHY", "SIMO D' OLEO", "DE LA RENTA", "DEL-PILAR", "MARIA DE", "DE LA", ""]
+
+
+def xf_split_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = spark.createDataFrame(list(enumerate(NAMES)), "id bigint, name string")
+    rows = fixed.unionByName(_read(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).alias("id"), F.upper("p_name").alias("name")))
+    return rows.select("id", F.posexplode(transforms.split_name(F.col("name"))).alias("pos", "term"))
+
+
+# Learning
+
+
+def learn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn(_parts(spark, sf_dir), PARTS).counts
+
+
+def vocab_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn(_parts(spark, sf_dir), PARTS).table.withColumn("weight", F.round("weight", 6))
+
+
+def field_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn(_parts(spark, sf_dir), PARTS).fields
+
+
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn(_parts(spark, sf_dir), PARTS).fingerprint()
+
+
+def document_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large vocabulary: every blank-separated word of the documents."""
+    words = _read(spark, sf_dir, "documents").select(F.lit(0).alias("field_idx"), F.explode(F.split("text", " ")).alias("term")).where("term <> ''")
+    counts = words.groupBy("field_idx", "term").agg(F.count("*").alias("cnt"))
+    return Vocabulary(SchemaDef(64, 8, (FieldDef(("text",)),)), counts).table.select("term", "cnt", "term_idx", "total", "dim")
+
+
+# Components and signatures
+
+
+def gauss_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gauss.components(spark, 20_000).select("i", "q", F.round("x", 9).alias("x"))
+
+
+def plane_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes(learn(_parts(spark, sf_dir), PARTS)).select("field_idx", "term_idx", F.posexplode("q").alias("plane", "q"))
+
+
+def field_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = SchemaDef(16, 8, (NAME,))
+    rows = _parts(spark, sf_dir)
+    return sums(rows, learn(rows, one)).select("id", F.posexplode("sums").alias("plane", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
+
+def _signatures(schema: SchemaDef):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _parts(spark, sf_dir)
+        return sign(rows, learn(rows, schema)).select("id", F.posexplode("signature").alias("chunk_idx", "chunk_val"))
+
+    return query
+
+
+def schema_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = _parts(spark, sf_dir), _folder(spark)
+    learn(rows, PARTS).save(path)
+    return sign(rows, Vocabulary.load(spark, path)).select("id", F.posexplode("signature").alias("chunk_idx", "chunk_val"))
+
+
+def signature_oov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment")
+    signed = sign(rows.where("id % 2 = 1"), learn(rows.where("id % 2 = 0"), CUSTOMERS))
+    return signed.select("id", F.array_join(F.transform("signature", lambda c: c.cast("string")), ",").alias("signature"), F.col("sign_error").isNotNull().alias("failed"))
+
+
+def signature_empty_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty attributes with and without the split transform."""
+    rows = spark.createDataFrame([(1, "RED ROSE", "a"), (2, "", "b"), (3, "RED", ""), (4, "", "")], "id bigint, n string, m string")
+    schema = SchemaDef(16, 4, (FieldDef(("n",), (SPLIT,)), FieldDef(("m",))))
+    signed = sign(rows, learn(rows, schema))
+    return signed.select("id", F.posexplode("signature").alias("chunk_idx", "chunk_val"))
+
+
+# The index
+
+
+def index_postings_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir)
+    signed = sign(rows, learn(rows, PARTS))
+    return idx.postings(signed.unionByName(signed.where("id % 3 = 0")), "set")
+
+
+def index_postings_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir)
+    signed = sign(rows, learn(rows, PARTS))
+    return idx.postings(signed.unionByName(signed.where("id % 3 = 0")), "multiset").groupBy("chunk_idx", "chunk_val", "id").agg(F.count("*").alias("n"))
+
+
+def index_rewrite_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(1).alias("version"))
+    again = rows.where("id % 5 = 0").select("id", F.concat("name", F.lit(" II")).alias("name"), F.lit(2).alias("version"))
+    return idx.latest(rows.unionByName(again))
+
+
+def match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts share chunks with every hundredth part? Best first."""
+    rows = _parts(spark, sf_dir)
+    signed = sign(rows, learn(rows, PARTS))
+    probes = signed.where("id % 100 = 0")
+    return idx.ranked(idx.match(probes, idx.postings(signed), rows.select("id", "p_name", "p_type")))
+
+
+def match_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best for every fiftieth part with three shared chunks at least."""
+    rows = _parts(spark, sf_dir)
+    signed = sign(rows, learn(rows, PARTS))
+    return idx.match(signed.where("id % 50 = 0"), idx.postings(signed), min_matches=3, limit=5)
+
+
+#: Two stored signatures, and a probe that shares 4 and 3 chunks with them.
+GOLDEN = [(1, "John", "Doe", [0, 255, 104, 172, 138, 51, 132, 248]), (2, "Jane", "Roe", [0, 255, 104, 172, 138, 51, 232, 177])]
+GOLDEN_PROBE = [0, 255, 104, 197, 20, 149, 132, 62]
+
+
+def match_injected_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = spark.createDataFrame(GOLDEN, "id bigint, first string, last string, signature array<bigint>")
+    probe = spark.createDataFrame([(0, GOLDEN_PROBE)], "id bigint, signature array<bigint>")
+    return idx.ranked(idx.match(probe, idx.postings(stored), stored.select("id", "first", "last"), "left"))
+
+
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to a folder in two versions, read back and queried."""
+    rows = _parts(spark, sf_dir).select("id", "p_name", "p_type", "p_brand")
+    signed = sign(rows, learn(rows, PARTS))
+    index = idx.Index(spark, _folder(spark))
+    index.write(rows, signed, 1)
+    index.write(rows.where("id % 7 = 0"), signed.where("id % 7 = 0"), 2)
+    return index.query(signed.where("id % 100 = 0")).select("query_id", "id", "p_name", "p_type", "matches")
+
+
+def key_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 77377 % 4294967296).alias("id"))
+    rows = rows.withColumns({"chunk": F.col("id") % 256, "value": F.col("id") % 65536})
+    return rows.select("id", codecs.bucket_key(F.col("chunk"), F.col("value")).alias("bucket"), codecs.id_key(F.col("id")).alias("key")).withColumn("back", codecs.key_id(F.col("key")))
+
+
+# Vectors
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector beside the next one by id."""
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.dense(F.col("embedding")).alias("a"))
+    return rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+
+
+def vec_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.dense(F.col("embedding")).alias("v"))
+    return rows.select("vec_id", vectors.dimension(F.col("v")).alias("dimension"), F.round(vectors.norm(F.col("v")), 6).alias("norm"), F.round(vectors.component(F.col("v"), 3), 6).alias("third"))
+
+
+def vec_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("vec_id", (F.round(vectors.dot(F.col("a"), F.col("b")), 6) + 0.0).alias("dot"))
+
+
+def vec_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("vec_id", (F.round(vectors.cosine(F.col("a"), F.col("b")), 6) + 0.0).alias("cosine"))
+
+
+def vec_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.quantise(vectors.dense(F.col("embedding"))).alias("q"))
+    return q.select("vec_id", F.aggregate("q", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("steps"), F.round(vectors.norm(vectors.restore(F.col("q"))), 6).alias("norm"))
+
+
+def vec_sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir).select("vec_id", vectors.sparse(F.col("a"), 0.1).alias("a"), vectors.sparse(F.col("b"), 0.1).alias("b"))
+    return rows.select("vec_id", (F.round(vectors.sparse_dot(F.col("a"), F.col("b")), 6) + 0.0).alias("dot"), F.round(vectors.sparse_norm(F.col("a")), 6).alias("norm"), (F.round(vectors.sparse_component(F.col("a"), 5), 6) + 0.0).alias("fifth"))
+
+
+def vec_mixed_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir)
+    return rows.select("vec_id", (F.round(vectors.mixed_dot(F.col("a"), vectors.sparse(F.col("b"), 0.1)), 6) + 0.0).alias("dot"))
+
+
+def vec_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.dense(F.col("embedding")).alias("v"))
+    plane = vectors.restore(vectors.random(64))
+    return rows.select("vec_id", vectors.hashed(F.col("v"), plane).alias("side"))
+
+
+def vec_signature16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty planes, of which sixteen count."""
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.dense(F.col("embedding")).alias("v"))
+    made = [vectors.restore(vectors.random(64, start=64 * k)) for k in range(20)]
+    return rows.select("vec_id", vectors.signature(F.col("v"), made).alias("signature"))
+
+
+# The encoder
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.col("o_orderstatus"))
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.array(status, F.col("o_orderpriority")).alias("fields"))
+
+
+def encoder_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.learn(_cells(spark, sf_dir)).counts
+
+
+def encoder_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enc.learn(_cells(spark, sf_dir)).weights.select("field_pos", "term", "field_offset", F.round("weight", 6).alias("weight"))
+
+
+def encoder_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from odd orders of status O and F, applied to all: status P is unknown."""
+    rows = _cells(spark, sf_dir)
+    coded = enc.learn(rows.where("seq % 2 = 1 and fields[0] in ('O', 'F')")).encode(rows)
+    return coded.select("seq", "vector.dimension", F.posexplode("vector.components").alias("pos", "c")).select("seq", "dimension", "pos", F.col("c.index").alias("index"), F.round("c.value", 6).alias("value"))
+
+
+def terms_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_terms(_parts(spark, sf_dir), PARTS)
+
+
+QUERIES = {
+    "scan_project": scan_project,
+    "csv_quotes_empty": csv_quotes_empty,
+    "concat_attrs": concat_attrs,
+    "xf_substr": _transformed("part", "p_partkey", "p_type", Transform("substr", {"begin": 2, "end": 5})),
+    "xf_upcase": _transformed("part", "p_partkey", "p_name", UP),
+    "xf_trim": xf_trim,
+    "xf_killafter": _transformed("customer", "c_custkey", "c_name", Transform("killafter", {"sep": "#"})),
+    "xf_split_names": xf_split_names,
+    "pipeline_multi": _transformed("part", "p_partkey", "p_name", UP, SPLIT, Transform("substr", {"begin": 0, "end": 3})),
+    "terms_of_parts": terms_of_parts,
+    "learn_counts": learn_counts,
+    "vocab_weights": vocab_weights,
+    "field_offsets": field_offsets,
+    "fingerprint": fingerprint,
+    "document_vocabulary": document_vocabulary,
+    "gauss_components": gauss_components,
+    "plane_components": plane_components,
+    "field_signature": field_signature,
+    "record_signature": _signatures(PARTS),
+    "record_signature_tail": _signatures(TAIL),
+    "schema_round_trip": schema_round_trip,
+    "signature_oov": signature_oov,
+    "signature_empty_attr": signature_empty_attr,
+    "index_postings_set": index_postings_set,
+    "index_postings_multiset": index_postings_multiset,
+    "index_rewrite_latest": index_rewrite_latest,
+    "index_round_trip": index_round_trip,
+    "match_query": match_query,
+    "match_top": match_top,
+    "match_injected_golden": match_injected_golden,
+    "key_codecs": key_codecs,
+    "vec_norm": vec_norm,
+    "vec_dot": vec_dot,
+    "vec_cosine": vec_cosine,
+    "vec_quantised": vec_quantised,
+    "vec_sparse_dot": vec_sparse_dot,
+    "vec_mixed_dot": vec_mixed_dot,
+    "vec_hash": vec_hash,
+    "vec_signature16": vec_signature16,
+    "encoder_vocab": encoder_vocab,
+    "encoder_weights": encoder_weights,
+    "encoder_encode": encoder_encode,
+}
+
+from .oracle import ORACLE  # noqa: E402  the SQL of these queries
+
+__all__ = ["ORACLE", "QUERIES", "match_query"]
