@@ -97,7 +97,7 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + self.value[at].sum(axis=1))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, ridge: float = 2.0, least: float = 4.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, ridge: float = 1.0, least: float = 0.5) -> Trees:
     """Boost ``trees`` trees of ``depth`` levels. Without rows every score is 0.5; with one
     class, the class's smoothed share."""
     good = (float(y.sum()) + 1) / (len(y) + 2)
