@@ -5,12 +5,13 @@ the fraction is a probability. Pairs of documents exchange expected words: at ra
 no expectation changes, mass moves until one probability is 0 or 1, and the words of a pair
 stay what they were. Blocks of one source round all but one of their documents; what is left
 goes up a tree of blocks, and only the last document of a source is rounded on its own. Blocks
-go from long to short documents, so that the one left is short.
+go from long to short documents, so that the one left is short. What its rounding costs in words
+is then made good within its block, by documents that fit the gap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small, uniform
@@ -71,6 +72,23 @@ def _round(items: DataFrame, blocks: str, seed: int) -> DataFrame:
     return grouped.select("source", folded.alias("r")).select("source", "r.open", "r.done")
 
 
+def _settled(seed: int) -> Column:
+    """The decisions of a source's last block. The open document is drawn by its probability;
+    then, from long to short, a document's decision turns if that brings the words closer to
+    what they should be."""
+    coin = (uniform("open.doc_id", "open.size", F.lit(seed * 1000 + 999)) < F.col("open.p")).cast("int")
+    gap = (F.col("open.p") - coin) * F.col("open.size")
+
+    def step(s: Column, d: Column) -> Column:
+        words = d["item"]["size"] * (1 - 2 * d["up"])  # what turning adds
+        turn = F.abs(s["gap"] - words) < F.abs(s["gap"])
+        kept = F.struct(d["item"].alias("item"), F.when(turn, 1 - d["up"]).otherwise(d["up"]).alias("up"))
+        return F.struct(F.when(turn, s["gap"] - words).otherwise(s["gap"]).alias("gap"), F.concat(s["done"], F.array(kept)).alias("done"))
+
+    last = F.array(F.struct(F.col("open").alias("item"), coin.alias("up")))
+    return F.aggregate("done", F.struct(gap.alias("gap"), last.alias("done")), step, lambda s: s["done"])
+
+
 def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     """How many words the mix takes of each document of ``sized`` (doc_id bigint, source, size).
 
@@ -98,9 +116,7 @@ def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
         decided = rounded.select("source", F.explode("done").alias("d")).select("source", "d.item.doc_id", "d.item.size", "d.up")
         out_level = [decided]
         if last:
-            coin = uniform("open.doc_id", "open.size", F.lit(seed * 1000 + 999)) < F.col("open.p")
-            ends = F.concat("done", F.array(F.struct(F.col("open").alias("item"), coin.cast("int").alias("up"))))
-            out_level = [rounded.select("source", F.explode(ends).alias("d")).select("source", "d.item.doc_id", "d.item.size", "d.up")]
+            out_level = [rounded.select("source", F.explode(_settled(seed)).alias("d")).select("source", "d.item.doc_id", "d.item.size", "d.up")]
         for part in out_level:
             whole = part.join(floors, part["source"].eqNullSafe(F.col("of")), "left")
             out.append(whole.select("doc_id", part["source"], "size", (F.col("floor") + F.col("up")).alias("copies")))
