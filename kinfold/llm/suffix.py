@@ -12,6 +12,9 @@ first 64 by sorting words, the rest by the ranks of the sample positions 64 and
 Any suffix meets the sample within 8 bytes, so it is ordered by its first word, the rank of the
 sample position it meets and its last word; long ties cost no more than short ones. Neighbours
 that agree are equal windows.
+
+A bucket with very many runs is not sorted in one task: its windows are spread by their own
+hashes, 128 bits, and counted.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, saved, small
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 200
@@ -35,6 +38,8 @@ CHUNK = 1 << 20
 PLACE_BITS = 22
 #: Bytes of runs in a block that is sorted at once.
 BLOCK = 4_000_000
+#: Runs of an anchor from which its windows are counted by hash instead.
+CROWD = 20_000
 COVER_MOD = 64
 #: The difference cover: every difference modulo 64 is one of a multiple of 8 and a number below 8.
 COVER = sorted({*range(8), *range(0, COVER_MOD, 8)})
@@ -242,6 +247,31 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary()), strict=True)], ["anchor", "key", "at", "kind", "body"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs with their bytes to one row per window: two hashes, key, place, kind."""
+    power, inverse = _power(4 * LENGTH)
+    for batch in batches:
+        out = []
+        for key, at, kind, body in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            first, count = at >> 16, at >> 8 & 255
+            b = np.frombuffer(body, np.uint8)
+            hashes = []
+            for table in (_BYTES, _BYTES[::-1]):
+                total = np.concatenate(([np.uint64(0)], np.cumsum(table[b] * power[: len(b)])))
+                hashes.append(_mix((total[LENGTH:] - total[:-LENGTH]) * inverse[:count]).view(np.int64))
+            out.append((*hashes, np.full(count, key), first + np.arange(count), np.full(count, kind, np.int8)))
+        if out:
+            yield _rows(*(np.concatenate(c) for c in zip(*out)))
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated windows (key, place) to ranges."""
+    for batch in batches:
+        if batch.num_rows:
+            key, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield _ranges(key, place, place)
+
+
 def _words(t: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number, ordered as the bytes are."""
     wide = np.lib.stride_tricks.sliding_window_view(t, 8)
@@ -344,20 +374,34 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, packed binary")
 
 
+def _bodies(rows: DataFrame, runs_: DataFrame) -> DataFrame:
+    """(anchor, key, at, kind, body): runs with their bytes, from the texts of ``rows``."""
+    asked = runs_.groupBy("key").agg(F.collect_list(F.struct("anchor", "key", "at", "kind")).alias("asked"))
+    texts = runs_.select("key").distinct()
+    few = texts.count() <= BROADCAST_ROWS
+    wanted = rows.join(F.broadcast(texts), "key", "left_semi") if few else rows
+    packed = _packed(wanted).dropDuplicates(["key"]).join(asked, "key").select("packed", "asked")
+    return packed.mapInArrow(_cut_out, "anchor bigint, key bigint, at bigint, kind tinyint, body binary")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, spans): per text with repeats the windows, as array of first and last, that equal a
     window elsewhere. A text's key is a hash of its id and text."""
     rows = _keyed(docs, id_col, text_col)
-    scanned = rows.select("key", "text").mapInArrow(_scan, _ROW_SQL)
-    matched = cut(scanned.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(_match, _ROW_SQL))
-    asked = matched.where("kind < 2").groupBy("key").agg(F.collect_list(F.struct("anchor", "key", "at", "kind")).alias("asked"))
-    texts = matched.where("kind < 2").select("key").distinct()
-    few = texts.count() <= BROADCAST_ROWS
-    wanted = rows.join(F.broadcast(texts), "key", "left_semi") if few else rows
-    bodies = _packed(wanted).dropDuplicates(["key"]).join(asked, "key").select("packed", "asked")
-    bodies = bodies.mapInArrow(_cut_out, "anchor bigint, key bigint, at bigint, kind tinyint, body binary")
+    scanned = saved(rows.select("key", "text").mapInArrow(_scan, _ROW_SQL))
+    crowded = cut(scanned.where("kind < 2").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor"))
+    many = crowded.count()
+    calm = scanned.where("kind < 2")
+    calm = calm.join(small(crowded, many), "anchor", "left_anti") if many else calm
+    matched = cut(calm.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(_match, _ROW_SQL))
+    bodies = _bodies(rows, matched.where("kind < 2"))
     found = bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort, _ROW_SQL)
-    spans = matched.where("kind = 2").unionByName(found).select("key", F.struct(F.col("at").alias("first"), F.col("digest").alias("last")).alias("span"))
+    if many:
+        windows = _bodies(rows, scanned.where("kind < 2").join(small(crowded, many), "anchor", "left_semi")).mapInArrow(_windows, _ROW_SQL)
+        windows = saved(windows.toDF("w1", "w2", "key", "place", "kind"))
+        twice = windows.groupBy("w1", "w2").agg((F.count("*") + F.max("kind")).alias("n")).where("n > 1").select("w1", "w2")
+        found = found.unionByName(windows.where("kind = 0").join(twice, ["w1", "w2"], "left_semi").select("key", "place").mapInArrow(_spans, _ROW_SQL))
+    spans = scanned.where("kind = 2").unionByName(matched.where("kind = 2")).unionByName(found).select("key", F.struct(F.col("at").alias("first"), F.col("digest").alias("last")).alias("span"))
     return spans.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
 

@@ -50,6 +50,12 @@ def test_passages(spark):
     check(spark, passages(1, 120))
 
 
+def test_crowded_anchors(spark, monkeypatch):
+    """Anchors of more than a few runs go another way, with the same result."""
+    monkeypatch.setattr(suffix, "CROWD", 3)
+    check(spark, passages(1, 120) + [(200 + k, f"{k}" + "passage " * 30 + f"{k % 3}") for k in range(12)])
+
+
 def test_periodic_and_low_variety(spark):
     check(spark, [(1, "ab" * 400), (2, "b" + "ab" * 150), (3, "a" * 1_000), (4, "a" * 199), (5, "a" * 200), (6, "abc" * 90 + "x" * 210), *passages(2, 20, "ab")])
 
