@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ship
+
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 1_024
 LEAF = 512
@@ -137,6 +139,7 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, factor: float = 3.0, id
     those of the same length only. A repeated id counts once, with its smallest vector. With
     fewer than k candidates all are returned; an empty table gives an empty result.
     """
+    ship(df.sparkSession)
     double = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), double.alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")

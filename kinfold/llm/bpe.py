@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
+from .common import released, ship
+
 #: Fixed value: the split pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -29,11 +31,14 @@ SETTLED = r"[\u0000-\u036F\u0391-\u03A1\u03A3-\u03CE\u0400-\u045F\u2010-\u2027\u
 #: Characters encoded together; bounds the words held at once.
 CHUNK_CHARS = 1_500_000
 
+#: Rows taken out of an Arrow batch at once.
+ROWS = 500
+
 #: Words kept encoded in a Python worker; when full, the cache starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 350_000
 
 #: Pairs of tokens whose verdict a Python worker remembers.
-CACHED_PAIRS = 1_500_000
+CACHED_PAIRS = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -187,6 +192,10 @@ class ByteBpe:
             out.append(b"".join(self.added[p[0]] if k % 2 else b"".join(map(got, p)) for k, p in enumerate(parts)))
         return out
 
+    def forget(self) -> None:
+        """Drop what was remembered of words and pairs."""
+        self.cache, self.verdicts = {}, {}
+
     def decode(self, ids: bytes) -> str:
         """The text of such ids; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
@@ -224,28 +233,33 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     empty result. Special tokens written in a text become their id, as the library does.
     The tokenizer's file is read on the driver and sent once to each executor.
     """
+    ship(df.sparkSession)
     with open(tokenizer_path, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
     rows = df.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(sent.value)
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _chunks(texts):
-                ids = bpe.encode(texts[a:b])
-                cols = [keys.slice(a, b - a), pa.array(ids, pa.binary())]
-                if decoded:
-                    cols.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, ["key", "ids", "decoded"][: len(cols)])
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                keys, texts = batch.column(0), batch.column(1).to_pylist()
+                for a, b in _chunks(texts):
+                    ids = bpe.encode(texts[a:b])
+                    cols = [keys.slice(a, b - a), pa.array(ids, pa.binary())]
+                    if decoded:
+                        cols.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "ids", "decoded"][: len(cols)])
+        bpe.forget()
 
     kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"key {kind}, ids binary" + ", decoded string" * decoded)
+    out = rows.mapInArrow(released(run), f"key {kind}, ids binary" + ", decoded string" * decoded)
     return out.withColumnRenamed("key", id_col)
 
 
 def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and ``decoded`` for ids as :func:`encode` gives them; null ids give ''."""
+    ship(df.sparkSession)
     with open(tokenizer_path, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
     rows = df.select(F.col(id_col).alias("key"), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids"))

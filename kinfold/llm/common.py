@@ -4,14 +4,45 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes up to which a counted table may be broadcast.
 BROADCAST_ROWS = 100_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once a session. Workers that have it on
+    their path run the same code from there; others could not import it."""
+    context = spark.sparkContext
+    if not getattr(context, "_kinfold_sent", False):
+        root = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="kinfold")) / "kinfold_sent.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(path))
+        context._kinfold_sent = True
+
+
+def released(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; at its end the worker, which may idle on, gives back what it
+    remembered and the memory that Arrow holds on to."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        if forget:
+            forget()
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def folder(df: DataFrame) -> str:
     """The shared checkpoint folder, set now where none is."""
     context = df.sparkSession.sparkContext

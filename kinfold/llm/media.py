@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, ship
+
 #: Samples in a row of a stored image.
 WIDE = 64
 SCHEME = "sha256:"
@@ -97,6 +99,7 @@ def _arrow(fields: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``id_col`` and parts (array of PARTS) of each page; one row per input row."""
+    ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("key"), F.col(html_col).alias("html"))
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
@@ -106,7 +109,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
                 batch = whole.slice(k, 1000)
                 yield _arrow({"key": None, "parts": kind}, [batch.column(0), pa.array([parse(h) for h in batch.column(1).to_pylist()], kind)])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, parts {PARTS}").withColumnRenamed("key", id_col)
+    return rows.mapInArrow(released(run), f"key {rows.schema['key'].dataType.simpleString()}, parts {PARTS}").withColumnRenamed("key", id_col)
 
 
 def padded(raw: bytes) -> bytes:
@@ -170,12 +173,14 @@ def text_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         held[digest] = store_image(payload)
                 yield _arrow({"digest": pa.string(), "media": pa.binary()}, [list(held), list(held.values())])
 
-    made = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digest string, media binary")
+    ship(docs.sparkSession)
+    made = docs.select(F.col(text_col).alias("text")).mapInArrow(released(run), "digest string, media binary")
     return made.groupBy("digest").agg(F.first("media").alias("media"))
 
 
 def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes and html: a page whose only medium is the text's payload."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     fields = {"key": None, "n_bytes": pa.int64(), "html": pa.string()}
 
@@ -190,7 +195,7 @@ def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     html.append(f'<figure><img src="{SCHEME}{hashlib.sha256(padded(raw)).hexdigest()}" alt="text"><figcaption>text of {len(raw)} bytes</figcaption></figure>')
                 yield _arrow(fields, [batch.column(0), size, html])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n_bytes bigint, html string").withColumnRenamed("key", id_col)
+    return rows.mapInArrow(released(run), f"key {rows.schema['key'].dataType.simpleString()}, n_bytes bigint, html string").withColumnRenamed("key", id_col)
 
 
 def resolved(parts: DataFrame, store: DataFrame) -> DataFrame:
@@ -225,4 +230,4 @@ def digests(docs: DataFrame) -> DataFrame:
                 yield _arrow(fields, [batch.column(0), batch.column(1), *made, batch.column(2), batch.column(3)])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, position int, caption string")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, position int, caption string")

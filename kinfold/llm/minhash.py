@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, released, ship
 from .components import components
 
 BUCKETS = 128
@@ -42,7 +42,7 @@ PAIRED = 32
 #: Documents of a block.
 BLOCK = 1_000
 #: Word hashes that a Python worker remembers.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 #: For each bucket the order in which it looks for another to borrow from.
@@ -67,6 +67,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles; fewer words make one shingle, none no set."""
     parts = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII blanks only
@@ -123,6 +127,7 @@ def _columns(batch: pa.RecordBatch, step: int = 2000) -> Iterator[pa.RecordBatch
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, f1, f2, sketch): size, 128-bit digest and registers of each row's set."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +143,7 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                     sketch.append(registers(s).tobytes() if len(s) else b"")
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n", "f1", "f2", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, sketch binary")
+    return rows.mapInArrow(released(run, _forget), "doc_id bigint, n bigint, f1 bigint, f2 bigint, sketch binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -168,7 +173,7 @@ def _sets(asked: DataFrame, docs: DataFrame, words: int, id_col: str, text_col:
             for batch in _columns(whole, 500):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["key", "s"])
 
-    return cut(texts.mapInArrow(sets, "key bigint, s binary").groupBy("key").agg(F.min("s").alias("s")), 10_000)
+    return cut(texts.mapInArrow(released(sets, _forget), "key bigint, s binary").groupBy("key").agg(F.min("s").alias("s")), 10_000)
 
 
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -294,3 +299,20 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
         once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         left = left.join(twice, "doc_id", "left_anti").unionByName(once)
     return left.select("row.*")
+
+
+#: The query's result in SQL: sets of two-word shingles, all pairs by common shingles, and the
+#: smallest id over links until nothing changes.
+ORACLE = r"""
+with recursive t as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as sh from t
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)),
+both_ways as (select u, v from e union all select v, u from e),
+reach(doc_id, to_id) as (select doc_id, doc_id from t union select r.doc_id, b.v from reach r join both_ways b on b.u = r.to_id),
+c as (select doc_id, min(to_id) as component_id from reach group by doc_id)
+select t.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, t.doc_id = c.component_id as kept from t join c using (doc_id) left join n using (doc_id)
+"""

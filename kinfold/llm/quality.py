@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, ship
+
 #: Most labelled rows that a fit gathers.
 LABELLED_ROWS = 12_000
 #: A document is good if its score is at least this.
@@ -156,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the largest counts. The sampled ids (at most ``rows``) are broadcast to the scan of the
     texts, the statistics are computed there, and only their numbers come to the driver.
     """
+    ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("key"), "key").limit(rows)
@@ -163,9 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = texts.join(F.broadcast(known), "key").select("key", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = matrix(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(values), pa.list_(pa.float64()))], ["key", "label", "x"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                values = matrix(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(values), pa.list_(pa.float64()))], ["key", "label", "x"])
 
     kind = sample.schema["key"].dataType.simpleString()
     got = sample.mapInArrow(run, f"key {kind}, label double, x array<double>").toArrow().sort_by("key")
@@ -184,7 +189,8 @@ def _scored(model: Trees, rows: DataFrame, keep: float | None, text_at: int, sch
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["key", "score"])
 
-    return rows.mapInArrow(run, schema)
+    ship(rows.sparkSession)
+    return rows.mapInArrow(released(run), schema)
 
 
 def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

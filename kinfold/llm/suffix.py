@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, saved, small
+from .common import BROADCAST_ROWS, cut, released, saved, ship, small
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 200
@@ -357,6 +357,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
@@ -371,7 +372,7 @@ def _packed(rows: DataFrame) -> DataFrame:
                 batch = whole.slice(k, 500)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([tight.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "key", "packed"])
 
-    return rows.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, packed binary")
+    return rows.select("doc_id", "key", "text").mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, packed binary")
 
 
 def _bodies(rows: DataFrame, runs_: DataFrame) -> DataFrame:
@@ -381,26 +382,26 @@ def _bodies(rows: DataFrame, runs_: DataFrame) -> DataFrame:
     few = texts.count() <= BROADCAST_ROWS
     wanted = rows.join(F.broadcast(texts), "key", "left_semi") if few else rows
     packed = _packed(wanted).dropDuplicates(["key"]).join(asked, "key").select("packed", "asked")
-    return packed.mapInArrow(_cut_out, "anchor bigint, key bigint, at bigint, kind tinyint, body binary")
+    return packed.mapInArrow(released(_cut_out), "anchor bigint, key bigint, at bigint, kind tinyint, body binary")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, spans): per text with repeats the windows, as array of first and last, that equal a
     window elsewhere. A text's key is a hash of its id and text."""
     rows = _keyed(docs, id_col, text_col)
-    scanned = saved(rows.select("key", "text").mapInArrow(_scan, _ROW_SQL))
+    scanned = saved(rows.select("key", "text").mapInArrow(released(_scan), _ROW_SQL))
     crowded = cut(scanned.where("kind < 2").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor"))
     many = crowded.count()
     calm = scanned.where("kind < 2")
     calm = calm.join(small(crowded, many), "anchor", "left_anti") if many else calm
-    matched = cut(calm.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(_match, _ROW_SQL))
+    matched = cut(calm.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(released(_match), _ROW_SQL))
     bodies = _bodies(rows, matched.where("kind < 2"))
-    found = bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort, _ROW_SQL)
+    found = bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(_sort), _ROW_SQL)
     if many:
-        windows = _bodies(rows, scanned.where("kind < 2").join(small(crowded, many), "anchor", "left_semi")).mapInArrow(_windows, _ROW_SQL)
+        windows = _bodies(rows, scanned.where("kind < 2").join(small(crowded, many), "anchor", "left_semi")).mapInArrow(released(_windows), _ROW_SQL)
         windows = saved(windows.toDF("w1", "w2", "key", "place", "kind"))
         twice = windows.groupBy("w1", "w2").agg((F.count("*") + F.max("kind")).alias("n")).where("n > 1").select("w1", "w2")
-        found = found.unionByName(windows.where("kind = 0").join(twice, ["w1", "w2"], "left_semi").select("key", "place").mapInArrow(_spans, _ROW_SQL))
+        found = found.unionByName(windows.where("kind = 0").join(twice, ["w1", "w2"], "left_semi").select("key", "place").mapInArrow(released(_spans), _ROW_SQL))
     spans = scanned.where("kind = 2").unionByName(matched.where("kind = 2")).unionByName(found).select("key", F.struct(F.col("at").alias("first"), F.col("digest").alias("last")).alias("span"))
     return spans.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
@@ -439,7 +440,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = joined.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("key", id_col)
+    return joined.mapInArrow(released(run), f"key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("key", id_col)
 
 
 def digests(docs: DataFrame) -> DataFrame:
