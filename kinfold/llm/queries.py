@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL over the same tables, where SQL can express the operator.
 ORACLE: dict[str, str] = {
+    "op3_minhash": minhash.ORACLE,
     "op5_chat": chat.ORACLE,
     "op7_lines": lines.ORACLE,
 }
