@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def chunks(signed: DataFrame) -> DataFrame:
+    """(id, chunk_idx, chunk_val) of signed rows; a row without a signature has none.
+
+    The chunks are tested after they are made: a test before would make the engine compute the
+    signature once more, for the test."""
+    rows = signed.select("id", F.posexplode_outer("signature").alias("chunk_idx", "chunk_val"))
+    return rows.where("chunk_idx is not null")
+
+
 def postings(signed: DataFrame, mode: str = "set") -> DataFrame:
     """(chunk_idx, chunk_val, id) of signed records; failed ones have none. In 'set' mode equal
     postings count once, in 'multiset' mode each counts."""
     if mode not in ("set", "multiset"):
         raise ValueError("mode is 'set' or 'multiset'")
-    rows = signed.where("signature is not null").select("id", F.posexplode("signature").alias("chunk_idx", "chunk_val")).select("chunk_idx", "chunk_val", "id")
+    rows = chunks(signed).select("chunk_idx", "chunk_val", "id")
     return rows.distinct() if mode == "set" else rows
 
 
@@ -31,7 +40,7 @@ def match(probes: DataFrame, stored: DataFrame, records: DataFrame | None = None
     per probe. Chunks shared by very many ids are split by the engine's skew handling; whether a
     side is broadcast is left to its size.
     """
-    asked = probes.where("signature is not null").select(F.col("id").alias("query_id"), F.posexplode("signature").alias("chunk_idx", "chunk_val"))
+    asked = chunks(probes).withColumnRenamed("id", "query_id")
     found = asked.join(stored, ["chunk_idx", "chunk_val"]).groupBy("query_id", "id").agg(F.count("*").alias("matches"))
     if min_matches > 1:
         found = found.where(F.col("matches") >= min_matches)

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import gauss
 
+from .lineage import cut
 from .vocabulary import Vocabulary, field_terms, placed
 
 #: Sums this little below zero count as zero; they are rounding noise of equal weights.
 SLACK = 1e-9
+#: Terms, known and unlearnt, up to which their numbers and weights may be broadcast.
+BROADCAST_TERMS = 200_000
 #: Bytes of planes up to which they may be broadcast.
 BROADCAST_BYTES = 32_000_000
 
@@ -29,22 +32,26 @@ def planes(vocabulary: Vocabulary, seed: str = gauss.SEED) -> DataFrame:
 
 
 def weighted_terms(records: DataFrame, vocabulary: Vocabulary, oov: str = "reference", id_col: str = "id") -> DataFrame:
-    """(id, field_idx, pos, term, term_idx, weight) of every term occurrence.
+    """(id, field_idx, pos, term, term_idx, weight) of every term occurrence, and a row without
+    a term for a field that has none.
 
     An unlearnt term, '' included, takes the place of the next known term with an infinite
-    weight; without a next term term_idx is null. With ``oov='ignore'`` it is left out.
+    weight; without a next term term_idx is null. With ``oov='ignore'`` neither has it, nor counts.
     """
     if oov not in ("reference", "ignore"):
         raise ValueError("oov is 'reference' or 'ignore'")
-    terms = field_terms(records, vocabulary.schema, id_col)
+    terms = field_terms(records, vocabulary.schema, id_col, outer=True)
     known = vocabulary.table.select("field_idx", "term", "term_idx", "weight")
+    count = vocabulary.counts.count()
     if oov == "ignore":
-        return terms.join(known, ["field_idx", "term"])
-    unknown = terms.select("field_idx", "term").distinct().join(known, ["field_idx", "term"], "left_anti")
+        return terms.join(F.broadcast(known) if count <= BROADCAST_TERMS else known, ["field_idx", "term"], "left")
+    unknown = field_terms(records, vocabulary.schema, id_col).select("field_idx", "term").distinct().join(known, ["field_idx", "term"], "left_anti")
     both = known.select("field_idx", "term", F.lit(1).alias("known")).unionByName(unknown.select("field_idx", "term", F.lit(0).alias("known")))
     next_ = placed(both, "known").where("known = 0").join(F.broadcast(vocabulary.fields.select("field_idx", "dim")), "field_idx")
     guessed = next_.select("field_idx", "term", F.when(F.col("before") < F.col("dim"), F.col("before")).alias("term_idx"), F.lit(float("inf")).alias("weight"))
-    return terms.join(known.unionByName(guessed), ["field_idx", "term"], "left")
+    guessed = cut(guessed)
+    every = known.unionByName(guessed)
+    return terms.join(F.broadcast(every) if count + guessed.count() <= BROADCAST_TERMS else every, ["field_idx", "term"], "left")
 
 
 def _added(a: Column, b: Column) -> Column:
@@ -58,22 +65,24 @@ def _field_sums(k: int, zero: Column) -> Column:
 
 def sums(records: DataFrame, vocabulary: Vocabulary, seed: str = gauss.SEED, oov: str = "reference", id_col: str = "id") -> DataFrame:
     """(id, sums, sign_error): the projection on every hyperplane; an error for records with a
-    term that sorts after all known ones. One row per id."""
+    term that sorts after all known ones. One row per id.
+
+    While the planes are broadcast, only the terms' numbers and weights are shuffled to their
+    record; the planes join them there."""
     schema = vocabulary.schema
     terms = weighted_terms(records, vocabulary, oov, id_col)
     made = planes(vocabulary, seed)
-    size = vocabulary.counts.count() * schema.hash_count * 4
-    rows = terms.join(F.broadcast(made) if size <= BROADCAST_BYTES else made, ["field_idx", "term_idx"], "left")
+    if vocabulary.counts.count() * schema.hash_count * 4 <= BROADCAST_BYTES:
+        terms, made = terms.repartition("id"), F.broadcast(made)
+    rows = terms.join(made, ["field_idx", "term_idx"], "left")
     part = F.struct("field_idx", "pos", "weight", "q")
-    gathered = rows.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(F.col("term_idx").isNull()).alias("failed"))
+    gathered = rows.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(F.col("term").isNotNull() & F.col("term_idx").isNull()).alias("failed"))
     zero = F.array_repeat(F.lit(0.0), schema.hash_count)
     total = zero
     for k in range(len(schema.fields)):
         total = _added(total, _field_sums(k, zero))
-    error = F.when(F.col("failed"), F.lit("a term sorts after all that are known"))
-    done = gathered.select("id", total.alias("sums"), error.alias("sign_error"))
-    ids = records.select(F.col(id_col).alias("id")).distinct()
-    return ids.join(done, "id", "left").select("id", F.coalesce("sums", zero).alias("sums"), "sign_error")
+    error = F.when(F.col("failed") & F.lit(oov == "reference"), F.lit("a term sorts after all that are known"))
+    return gathered.select("id", total.alias("sums"), error.alias("sign_error"))
 
 
 def packed(sums_: Column, hash_count: int, width: int, slack: float = SLACK) -> Column:

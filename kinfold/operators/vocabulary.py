@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 from kinfold.functions import transforms
 from kinfold.plans.definitions import SchemaDef
 
+from .lineage import cut
+
 #: Leading characters of a term by which a field's vocabulary is cut into sortable parts.
 PREFIX = 2
 
 
-def field_terms(records: DataFrame, schema: SchemaDef, id_col: str = "id") -> DataFrame:
-    """(id, field_idx, pos, term): every term of every field, in order, '' included."""
+def field_terms(records: DataFrame, schema: SchemaDef, id_col: str = "id", outer: bool = False) -> DataFrame:
+    """(id, field_idx, pos, term): every term of every field, in order, '' included. With
+    ``outer`` a field without terms has one row with null pos and term."""
     lists = F.array(*(transforms.terms(f, records.columns) for f in schema.fields))
     per_field = records.select(F.col(id_col).alias("id"), F.posexplode(lists).alias("field_idx", "terms"))
-    return per_field.select("id", "field_idx", F.posexplode("terms").alias("pos", "term"))
+    explode = F.posexplode_outer if outer else F.posexplode
+    return per_field.select("id", "field_idx", explode("terms").alias("pos", "term"))
 
 
 def placed(terms: DataFrame, known: str) -> DataFrame:
@@ -53,14 +57,14 @@ class Vocabulary:
         every = spark.range(len(self.schema.fields)).select(F.col("id").cast("int").alias("field_idx"))
         rows = every.join(F.broadcast(sums), "field_idx", "left").na.fill(0, ["total", "dim"])
         offset = f"cast(coalesce(sum(dim * {self.schema.hash_count}) over (order by field_idx rows between unbounded preceding and 1 preceding), 0) as bigint)"
-        return rows.withColumn("field_offset", F.expr(offset))
+        return cut(rows.withColumn("field_offset", F.expr(offset)))
 
     @cached_property
     def table(self) -> DataFrame:
         """(field_idx, term, cnt, term_idx, total, dim, weight): weight is ln(total / cnt)."""
         ranked = placed(self.counts.withColumn("known", F.lit(1)), "known").drop("known").withColumnRenamed("before", "term_idx")
         rows = ranked.join(F.broadcast(self.fields.select("field_idx", "total", "dim")), "field_idx")
-        return rows.withColumn("weight", F.log(F.col("total") / F.col("cnt"))).select("field_idx", "term", "cnt", "term_idx", "total", "dim", "weight")
+        return cut(rows.withColumn("weight", F.log(F.col("total") / F.col("cnt"))).select("field_idx", "term", "cnt", "term_idx", "total", "dim", "weight"))
 
     def fingerprint(self) -> DataFrame:
         """(field_idx, fingerprint): equal for equal counts, whatever their order."""
@@ -81,7 +85,8 @@ class Vocabulary:
 
 
 def learn(records: DataFrame, schema: SchemaDef, id_col: str = "id") -> Vocabulary:
-    """Count the terms of all fields in one job. A term counts once for each occurrence; empty
-    terms never count."""
+    """Count the terms of all fields in one pass over the records. A term counts once for each
+    occurrence; empty terms never count. The counts, which are as many as there are terms, are
+    kept: nothing that is derived from them reads the records again."""
     terms = field_terms(records, schema, id_col).where("term <> ''")
-    return Vocabulary(schema, terms.groupBy("field_idx", "term").agg(F.count("*").alias("cnt")))
+    return Vocabulary(schema, cut(terms.groupBy("field_idx", "term").agg(F.count("*").alias("cnt"))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import codecs, gauss, transforms, vectors
 from kinfold.operators import encoder as enc
 from kinfold.operators import index as idx
+from kinfold.operators.lineage import cut
 from kinfold.operators.signature import planes, sign, sums
 from kinfold.operators.vocabulary import Vocabulary, field_terms, learn
 from kinfold.sources import delimited
@@ -122,13 +123,13 @@ def plane_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = SchemaDef(16, 8, (NAME,))
     rows = _parts(spark, sf_dir)
-    return sums(rows, learn(rows, one)).select("id", F.posexplode("sums").alias("plane", "value")).withColumn("value", F.round("value", 6) + 0.0)
+    return sums(rows, learn(rows, one)).select("id", F.posexplode_outer("sums").alias("plane", "value")).withColumn("value", F.round("value", 6) + 0.0)
 
 
 def _signatures(schema: SchemaDef):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _parts(spark, sf_dir)
-        return sign(rows, learn(rows, schema)).select("id", F.posexplode("signature").alias("chunk_idx", "chunk_val"))
+        return idx.chunks(sign(rows, learn(rows, schema)))
 
     return query
 
@@ -136,7 +137,7 @@ def _signatures(schema: SchemaDef):
 def schema_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, path = _parts(spark, sf_dir), _folder(spark)
     learn(rows, PARTS).save(path)
-    return sign(rows, Vocabulary.load(spark, path)).select("id", F.posexplode("signature").alias("chunk_idx", "chunk_val"))
+    return idx.chunks(sign(rows, Vocabulary.load(spark, path)))
 
 
 def signature_oov(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +150,7 @@ def signature_empty_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty attributes with and without the split transform."""
     rows = spark.createDataFrame([(1, "RED ROSE", "a"), (2, "", "b"), (3, "RED", ""), (4, "", "")], "id bigint, n string, m string")
     schema = SchemaDef(16, 4, (FieldDef(("n",), (SPLIT,)), FieldDef(("m",))))
-    signed = sign(rows, learn(rows, schema))
-    return signed.select("id", F.posexplode("signature").alias("chunk_idx", "chunk_val"))
+    return idx.chunks(sign(rows, learn(rows, schema)))
 
 
 # The index
@@ -158,13 +158,13 @@ def signature_empty_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_postings_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir)
-    signed = sign(rows, learn(rows, PARTS))
+    signed = cut(sign(rows, learn(rows, PARTS)))
     return idx.postings(signed.unionByName(signed.where("id % 3 = 0")), "set")
 
 
 def index_postings_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir)
-    signed = sign(rows, learn(rows, PARTS))
+    signed = cut(sign(rows, learn(rows, PARTS)))
     return idx.postings(signed.unionByName(signed.where("id % 3 = 0")), "multiset").groupBy("chunk_idx", "chunk_val", "id").agg(F.count("*").alias("n"))
 
 
@@ -177,7 +177,7 @@ def index_rewrite_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which parts share chunks with every hundredth part? Best first."""
     rows = _parts(spark, sf_dir)
-    signed = sign(rows, learn(rows, PARTS))
+    signed = cut(sign(rows, learn(rows, PARTS)))
     probes = signed.where("id % 100 = 0")
     return idx.ranked(idx.match(probes, idx.postings(signed), rows.select("id", "p_name", "p_type")))
 
@@ -185,7 +185,7 @@ def match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best for every fiftieth part with three shared chunks at least."""
     rows = _parts(spark, sf_dir)
-    signed = sign(rows, learn(rows, PARTS))
+    signed = cut(sign(rows, learn(rows, PARTS)))
     return idx.match(signed.where("id % 50 = 0"), idx.postings(signed), min_matches=3, limit=5)
 
 
@@ -203,7 +203,7 @@ def match_injected_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to a folder in two versions, read back and queried."""
     rows = _parts(spark, sf_dir).select("id", "p_name", "p_type", "p_brand")
-    signed = sign(rows, learn(rows, PARTS))
+    signed = cut(sign(rows, learn(rows, PARTS)))
     index = idx.Index(spark, _folder(spark))
     index.write(rows, signed, 1)
     index.write(rows.where("id % 7 = 0"), signed.where("id % 7 = 0"), 2)
