@@ -6,7 +6,7 @@ components:array<struct<index:bigint,value:double>>>.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import gauss
@@ -109,6 +109,12 @@ def random(size: int, seed: str = gauss.SEED, start: int = 0) -> Column:
     return F.transform(F.sequence(F.lit(start), F.lit(start + size - 1)), lambda i: gauss.quantised(i, seed))
 
 
+def planes(spark: SparkSession, count: int, size: int, seed: str = gauss.SEED) -> list[Column]:
+    """``count`` random hyperplanes as literals: they are parameters, made once and not per row."""
+    rows = gauss.components(spark, count * size, seed).orderBy("i").select("x").collect()
+    return [F.lit([r.x for r in rows[k * size : (k + 1) * size]]) for k in range(count)]
+
+
 def side(product: Column, slack: float = 0.0) -> Column:
     """Whether a point lies on a hyperplane's positive side; NaN doesn't."""
     return ~F.isnan(product) & (product >= -slack)

@@ -255,15 +255,14 @@ def vec_mixed_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vec_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.dense(F.col("embedding")).alias("v"))
-    plane = vectors.restore(vectors.random(64))
+    (plane,) = vectors.planes(spark, 1, 64)
     return rows.select("vec_id", vectors.hashed(F.col("v"), plane).alias("side"))
 
 
 def vec_signature16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty planes, of which sixteen count."""
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.dense(F.col("embedding")).alias("v"))
-    made = [vectors.restore(vectors.random(64, start=64 * k)) for k in range(20)]
-    return rows.select("vec_id", vectors.signature(F.col("v"), made).alias("signature"))
+    return rows.select("vec_id", vectors.signature(F.col("v"), vectors.planes(spark, 20, 64)).alias("signature"))
 
 
 # The encoder
