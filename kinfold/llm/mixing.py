@@ -74,8 +74,8 @@ def _round(items: DataFrame, blocks: str, seed: int) -> DataFrame:
 
 def _settled(seed: int) -> Column:
     """The decisions of a source's last block. The open document is drawn by its probability;
-    then, from long to short, a document's decision turns if that brings the words closer to
-    what they should be."""
+    then, from long to short and with the drawn one at the end, a document's decision turns if
+    that brings the words closer to what they should be."""
     coin = (uniform("open.doc_id", "open.size", F.lit(seed * 1000 + 999)) < F.col("open.p")).cast("int")
     gap = (F.col("open.p") - coin) * F.col("open.size")
 
@@ -86,7 +86,8 @@ def _settled(seed: int) -> Column:
         return F.struct(F.when(turn, s["gap"] - words).otherwise(s["gap"]).alias("gap"), F.concat(s["done"], F.array(kept)).alias("done"))
 
     last = F.array(F.struct(F.col("open").alias("item"), coin.alias("up")))
-    return F.aggregate("done", F.struct(gap.alias("gap"), last.alias("done")), step, lambda s: s["done"])
+    start = F.struct(gap.alias("gap"), F.slice("done", 1, 0).alias("done"))
+    return F.aggregate(F.concat("done", last), start, step, lambda s: s["done"])
 
 
 def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
