@@ -15,6 +15,7 @@ from kinfold.operators.lineage import cut
 from kinfold.operators.signature import planes, sign, sums
 from kinfold.operators.vocabulary import Vocabulary, field_terms, learn
 from kinfold.sources import delimited
+from kinfold.streaming import indexing
 
 from .definitions import FieldDef, SchemaDef, SourceDef, Transform
 
@@ -210,6 +211,18 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.query(signed.where("id % 100 = 0")).select("query_id", "id", "p_name", "p_type", "matches")
 
 
+def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that arrive as a stream of files, signed and indexed batch by batch, then queried."""
+    rows, path = _parts(spark, sf_dir), _folder(spark)
+    rows.repartition(2).write.csv(f"{path}/in", header=False, escape='"')
+    source = SourceDef({"p_name": 2, "p_type": 3, "p_brand": 4}, concurrent=1)
+    learnt, index = learn(rows, PARTS), idx.Index(spark, f"{path}/index")
+    streamed = delimited.read_stream(spark, source, f"{path}/in")
+    indexing.index_stream(streamed, learnt, index, f"{path}/progress").awaitTermination()
+    probes = sign(rows.where("id % 100 = 0"), learnt)
+    return index.query(probes).select("query_id", "id", "p_name", "p_type", "matches")
+
+
 def key_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 77377 % 4294967296).alias("id"))
     rows = rows.withColumns({"chunk": F.col("id") % 256, "value": F.col("id") % 65536})
@@ -320,6 +333,7 @@ QUERIES = {
     "index_postings_multiset": index_postings_multiset,
     "index_rewrite_latest": index_rewrite_latest,
     "index_round_trip": index_round_trip,
+    "index_stream": index_stream,
     "match_query": match_query,
     "match_top": match_top,
     "match_injected_golden": match_injected_golden,

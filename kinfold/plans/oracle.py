@@ -160,6 +160,7 @@ select term, cnt, (row_number() over (order by term) - 1)::bigint as term_idx, (
     "index_postings_multiset": f"{_SIGNED_PARTS} select chunk_idx, chunk_val, id, case when id % 3 = 0 then 2 else 1 end::bigint as n from signed",
     "index_rewrite_latest": "select c_custkey as id, case when c_custkey % 5 = 0 then c_name || ' II' else c_name end as name from customer",
     "index_round_trip": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(100)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
+    "index_stream": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(100)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
     "match_query": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(100)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
     "match_top": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(50)}) select query_id, id, matches from m where matches >= 3 qualify row_number() over (partition by query_id order by matches desc, id) <= 5",
     "match_injected_golden": "select * from (values (0::bigint, 1::bigint, 'John', 'Doe', 4::bigint), (0, 2, 'Jane', 'Roe', 3)) t(query_id, id, first, last, matches)",

@@ -317,6 +317,17 @@ def test_streamed_index(spark, tmp_path):
     assert [(r.id, r.matches) for r in got[:2]] == [(1, 8), (3, 8)]
 
 
+def test_protocols(spark, tmp_path):
+    from kinfold.plans import protocols
+
+    source = protocols.DelimitedSource(SourceDef({"fruit": 2, "count": 3}, glob=write(tmp_path, a="1,apple,1\n2,pear,2\n")))
+    rows = source.records(spark)
+    signer = protocols.LearntSigner(learn(rows, SchemaDef(17, 4, (FieldDef(("fruit",)),))))
+    assert isinstance(source, protocols.Source) and isinstance(signer, protocols.Signer) and isinstance(protocols.Gauss(), protocols.RandomProvider)
+    assert (signer.signature_length, signer.chunk_bits) == (4, 4) and [len(r.signature) for r in signer.sign(rows).collect()] == [4, 4]
+    assert math.isclose(value(spark, protocols.Gauss().get(F.lit(5))), python_component(5))
+
+
 def test_commands(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     glob = write(tmp_path / "in", a="1,apple,1\n2,pear,2\n3,apple,1\n")
