@@ -34,10 +34,10 @@ LENGTH = 200
 GRAM = 48
 WIDE = LENGTH - GRAM + 1
 #: Bytes hashed together, and the bits that a place among them takes.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 PLACE_BITS = 22
 #: Bytes of runs in a block that is sorted at once.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Runs of an anchor from which its windows are counted by hash instead.
 CROWD = 20_000
 COVER_MOD = 64
@@ -174,10 +174,15 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts (key, text) to rows: the runs, those seen once and those seen more often."""
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        raw = [(k, t.encode()) for k, t in zip(keys, texts, strict=True)]
-        raw = [(k, t) for k, t in raw if len(t) >= LENGTH]
-        key, anchor, digest, first, count, offset = _all_runs([k for k, _ in raw], [t for _, t in raw])
+        found = []
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            raw = [(k, t.encode()) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            raw = [(k, t) for k, t in raw if len(t) >= LENGTH]
+            found.append(_all_runs([k for k, _ in raw], [t for _, t in raw]))
+        if not found:
+            continue
+        key, anchor, digest, first, count, offset = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((digest, anchor))
         key, anchor, digest, first, count, offset = (c[order] for c in (key, anchor, digest, first, count, offset))
         group, head = _groups(anchor, digest)
