@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -39,6 +40,9 @@ def released(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | N
         if forget:
             forget()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
 
     return whole
 
