@@ -15,7 +15,7 @@ from kinfold.plans.definitions import SchemaDef
 from .lineage import cut
 
 #: Leading characters of a term by which a field's vocabulary is cut into sortable parts.
-PREFIX = 2
+PREFIX = 3
 
 
 def field_terms(records: DataFrame, schema: SchemaDef, id_col: str = "id", outer: bool = False) -> DataFrame:
