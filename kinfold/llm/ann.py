@@ -130,14 +130,15 @@ def _groups(frame: pd.DataFrame):
         yield n, part["vec_id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.float64)
 
 
-def nearest(df: DataFrame, every: int = 20, k: int = 20, factor: float = 3.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, every: int = 20, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest of every row whose id is divisible by ``every``, among all other rows.
 
     Returns query_id, rank (from 1), vec_id, score: the inner product in double precision on
     the vectors as given; ties go to the smaller id. Ids that are null and vectors that are
     null, zero or hold null or non-finite components take no part. Vectors are compared with
     those of the same length only. A repeated id counts once, with its smallest vector. With
-    fewer than k candidates all are returned; an empty table gives an empty result.
+    fewer than k candidates all are returned; an empty table gives an empty result. A factor
+    above 1 loses neighbours where norms vary.
     """
     ship(df.sparkSession)
     double = F.transform(F.col(vector_col), lambda x: x.cast("double"))

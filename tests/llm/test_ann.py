@@ -78,6 +78,15 @@ def test_recall_on_embeddings(spark):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_recall_with_varying_norms(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(6_000, 8))
+    x *= r.gamma(3, size=(6_000, 1)) / np.linalg.norm(x, axis=1)[:, None]
+    vectors = float32(dict(enumerate(x)))
+    got, want = collected(ann.nearest(frame(spark, vectors))), brute(vectors, 20, 20)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.5, 0.5]), (40, [0.0, 0.0])]
