@@ -125,6 +125,12 @@ def _columns(batch: pa.RecordBatch, step: int = 2000) -> Iterator[pa.RecordBatch
         yield batch.slice(k, step)
 
 
+def _print(s: np.ndarray) -> tuple[int, int]:
+    """The two halves of a set's 128-bit digest."""
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, f1, f2, sketch): size, 128-bit digest and registers of each row's set."""
     ship(docs.sparkSession)
@@ -136,10 +142,10 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                 size, f1, f2, sketch = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     s = shingles(text, words)
-                    d = xxhash.xxh3_128_digest(s.tobytes())
+                    one, two = _print(s)
                     size.append(len(s))
-                    f1.append(int.from_bytes(d[:8], "little", signed=True))
-                    f2.append(int.from_bytes(d[8:], "little", signed=True))
+                    f1.append(one)
+                    f2.append(two)
                     sketch.append(registers(s).tobytes() if len(s) else b"")
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n", "f1", "f2", "sketch"])
 
@@ -162,18 +168,27 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return sized.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint, likeness double")
 
 
-def _sets(asked: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, s): the full sets, sorted 64-bit hashes, of the documents whose keys are asked for."""
+def _sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, s): the full sets, sorted 64-bit hashes, of the classes whose keys are asked for.
+
+    The texts of a class's document are read, and of those the one with the class's digest
+    counts: the document's id may stand for other texts, too."""
     few = asked.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).cast("bigint").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(asked) if few else asked, "key", "left_semi")
+    keys = asked.withColumnRenamed("key", "id")
+    wanted = cut(classes.join(F.broadcast(keys) if few else keys, "id", "left_semi").select(F.col("id").alias("key"), "doc_id", "f1", "f2"))
+    owners, wanted = wanted.select("doc_id"), wanted.select("key", "f1", "f2")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(owners) if few else owners, "doc_id", "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _columns(whole, 500):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["key", "s"])
+                full = [shingles(t, words) for t in batch.column(0).to_pylist()]
+                f1, f2 = zip(*map(_print, full), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array([s.tobytes() for s in full], pa.binary())], ["f1", "f2", "s"])
 
-    return cut(texts.mapInArrow(released(sets, _forget), "key bigint, s binary").groupBy("key").agg(F.min("s").alias("s")), 10_000)
+    full = texts.mapInArrow(released(sets, _forget), "f1 bigint, f2 bigint, s binary").groupBy("f1", "f2").agg(F.min("s").alias("s"))
+    return cut(full.join(F.broadcast(wanted) if few else wanted, ["f1", "f2"]).select("key", "s"), 10_000)
 
 
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -241,14 +256,20 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     Returns doc_id, n_shingles, component_id (the smallest id reachable over links, its own
     included), kept (whether the row's id is that). Words are lower-cased in A-Z only and parted
     by ASCII blanks. A text without words, or null, has an empty set and no links. Repeated rows
-    of an id have the same result; if their texts differ, each is linked by its own text and
-    the id stands for them all. A null id is linked with nothing and kept: its component is
-    null. An empty table gives an empty result.
+    of an id have the same result; if their texts differ, each is linked by its own text alone.
+    A null id is linked with nothing and kept: its component is null. An empty table gives an
+    empty result.
     """
+    return _linked(docs, words, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """:func:`link` with each row's digest (f1, f2) and the number of its group, null for an
+    empty set. Classes have numbers of their own, as one id may be the smallest of several."""
     prints = cut(sketches(docs, words, id_col, text_col), 20_000)
     known = prints.where("n > 0 and doc_id is not null")
     classes = known.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r"))
-    classes = cut(classes.select("f1", "f2", F.col("r.doc_id").alias("id"), "r.n", "r.sketch"), 20_000)
+    classes = cut(classes.select("f1", "f2", F.monotonically_increasing_id().alias("id"), "r.doc_id", "r.n", "r.sketch"), 20_000)
     keys = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {2 * BUCKETS // BANDS} + 1, {2 * BUCKETS // BANDS}))))")
     bands = classes.select("id", keys.alias("key"))
     hubs = bands.groupBy("key").agg(F.min("id").alias("one"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("two"), F.count("*").alias("size"))
@@ -260,7 +281,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     best = likely.join(stars, ["a", "b"]).withColumn("rank", rank).where(F.col("rank") <= HUBS).select("a", "b").distinct()
     best = cut(best)
     asked = cut(best.selectExpr("explode(array(a, b)) as key").distinct())
-    edges = _verified(best, _sets(asked, docs, words, id_col, text_col), percent)
+    edges = _verified(best, _sets(asked, classes, docs, words, id_col, text_col), percent)
     joined = cut(components(edges))
     label = F.coalesce("component", "id")
     placed = shared.select("key", "one", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "one", "id", label.alias("c"))
@@ -276,28 +297,43 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     others = cut(_likely(others.join(best, ["a", "b"], "left_anti"), classes, percent / 100).select("a", "b"))
     crowd = groups.join(many, "one", "left_semi")
     asked = cut(others.selectExpr("explode(array(a, b)) as key").union(crowd.select("id")).distinct())
-    held = _sets(asked, docs, words, id_col, text_col)
+    held = _sets(asked, classes, docs, words, id_col, text_col)
     more = _verified(others, held, percent).union(_crowded(crowd, many, held, percent))
     members = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = components(cut(more.union(members)))
-    named = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", label.alias("component_id"))
+    named = cut(classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "doc_id", label.alias("part")))
+    firsts = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    named = named.drop("doc_id").join(firsts, "part")
     out = prints.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).withColumn("component_id", F.expr("if(doc_id is null, null, component_id)"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "f1", "f2", "part")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of the documents that :func:`link` keeps: of each group
-    the one with the smallest id. Of repeated rows of an id one stays; rows without an id stay."""
-    linked = cut(link(docs, words, percent, id_col, text_col))
-    gone = linked.where("not kept").select("doc_id").distinct()
-    gone = F.broadcast(gone) if linked.where("not kept").count() <= BROADCAST_ROWS else gone
+    the one with the smallest id. Of repeated rows of an id one stays, and one of each group if
+    their texts differ; rows without an id stay."""
+    linked = cut(_linked(docs, words, percent, id_col, text_col))
+    known = linked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept"), (F.min(F.struct("f1", "f2")) != F.max(F.struct("f1", "f2"))).alias("differ"))
+    odd = cut(known.where("not kept or n > 1").selectExpr("doc_id", "not differ and not kept as gone", "differ"))
+    gone, several, differ = odd.where("gone").select("doc_id"), odd.where("not gone and not differ").select("doc_id"), odd.where("differ").select("doc_id")
+    few = odd.count() <= BROADCAST_ROWS
     whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.struct("*").alias("row"))
-    left = whole.join(gone, "doc_id", "left_anti")
-    twice = cut(linked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if twice.count():
-        once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(twice, "doc_id", "left_anti").unionByName(once)
+    left = whole.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    if several.count():
+        once = left.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        left = left.join(several, "doc_id", "left_anti").unionByName(once)
+    if differ.count():
+
+        def prints(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([_print(shingles(t, words)) for t in texts], columns=["f1", "f2"], dtype="int64")
+
+        ids = F.broadcast(differ) if few else differ
+        texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row")).join(ids, "doc_id", "left_semi")
+        texts = texts.withColumn("p", F.pandas_udf(prints, "f1 bigint, f2 bigint")("text")).select("doc_id", "p.f1", "p.f2", "row")
+        stay = linked.where("kept").join(ids, "doc_id", "left_semi").select("doc_id", "f1", "f2", "part").distinct()
+        once = texts.join(stay, ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "part"])
+        left = left.join(ids, "doc_id", "left_anti").unionByName(once.select("doc_id", "row"))
     return left.select("row.*")
 
 

@@ -86,6 +86,16 @@ def test_nulls_and_repeats(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, "a b c"), (2, None), (3, ""), (None, "a b c"), (None, None)], key=repr)
 
 
+def test_ids_with_several_texts(spark):
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a", 41)), (3, text("b", 41)), (0, text("c")), (4, text("c", 41)), (4, text("d")), (5, text("d", 41)), (6, None), (6, text("e")), (7, text("e", 41)), (8, text("f")), (8, text("f", 41)), (8, text("f"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.link(docs, 2).collect())
+    assert got == sorted([(1, 39, 1), (1, 39, 1), (2, 40, 1), (3, 40, 1), (0, 39, 0), (4, 40, 0), (4, 39, 4), (5, 40, 4), (6, 0, 6), (6, 39, 6), (7, 40, 6), (8, 39, 8), (8, 40, 8), (8, 39, 8)])
+    kept = sorted(((r.doc_id, (r.text or "-")[0]) for r in minhash.keep_one(docs, 2).collect()))
+    assert kept == [(0, "c"), (1, "a"), (1, "b"), (4, "d"), (6, "-"), (6, "e"), (8, "f")]
+
+
 def test_estimate():
     r = np.random.default_rng(0)
     for share in (0.3, 0.8, 0.95):
