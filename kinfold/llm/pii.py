@@ -34,7 +34,7 @@ BASE = {
 WIDE = {
     "email": rf"(?<![{_ADDRESS}])[{_ADDRESS}]{{1,64}}+\x20?[\[({{]at[\])}}]\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\.|[\[({{]dot[\])}}])\x20?[A-Za-z0-9-]{{1,63}}+)++",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,5}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,60}+[0-9])[A-Za-z0-9_+/=-]{16,512}+",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+",
 }
 #: What a text must contain for a pattern to be tried.
 _NEEDS = {"email": "contains(text, '@')", "ip": "contains(text, '.')", "card": "true", "phone": "contains(text, '+')"}

@@ -72,6 +72,14 @@ def test_generators_and_look_alikes(spark):
     assert got[1] == "phone:5:19" and got[2].startswith("email:9:") and got[3] == "" and got[4] == "secret:10:30"
 
 
+def test_long_secrets_are_proposed_whole(spark):
+    made = ["q7Zk2LmP9x" * 60, "abcd" * 20 + "1" + "x" * 30, "a" * 40_000, "a1" * 20_000]
+    rows = spark.createDataFrame([(k, f'api_key: "{m}" end') for k, m in enumerate(made)], "doc_id bigint, text string")
+    got = {r.doc_id: [c.m for c in r.wide if pii.KINDS[c.kind] == "secret"] for r in pii.candidates(rows).collect()}
+    assert got == {0: [made[0]], 1: [made[1]], 2: [], 3: [made[3]]}
+    assert {r.doc_id: r.redacted for r in pii.redacted(pii.find(rows.where("doc_id = 0"))).collect()} == {0: 'api_key: "[PRIVATE]" end'}
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, "x a@b.co y +12345678901."), (2, "plain"), (3, None)], "doc_id bigint, text string")
     got = {r.doc_id: r.redacted for r in pii.redacted(pii.find(rows)).collect()}
