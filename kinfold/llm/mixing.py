@@ -146,10 +146,10 @@ def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it. Rows of equal id and
-    text count as one document."""
-    key = F.xxhash64(id_col, text_col).alias("key")
-    rows = sizes(docs.select(key, F.col(text_col).alias("text"), F.col(source_col).alias("source")), "key").dropDuplicates(["doc_id"])
+    """The rows of ``docs``, all columns, each as often as the mix takes it. Rows of equal id, text
+    and source count as one document with the words of all, and are taken equally often."""
+    key = F.xxhash64(id_col, text_col, F.isnull(text_col), source_col).alias("key")
+    rows = sizes(docs.select(key, F.col(text_col).alias("text"), F.col(source_col).alias("source")), "key").groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("size").alias("size"))
     copies = mix(rows, seed).where("copies > 0").select(F.col("doc_id").alias("key"), "copies")
     whole = docs.select(key, F.struct("*").alias("row")).join(copies.hint("shuffle_hash"), "key")
     return whole.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

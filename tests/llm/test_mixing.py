@@ -95,3 +95,14 @@ def test_mixed_repeats_rows(spark):
     for r in mixing.mixed(docs).collect():
         copies[r.doc_id] += 1
     assert mixing.mixed(docs).columns == docs.columns and max(copies.values()) <= 3 and sum(copies.values()) > 0
+
+
+def test_mixed_counts_repeated_rows(spark):
+    rows = [(k if k % 2 else None, f"w{k} " * (k % 9 + 1), "abc"[k % 3]) for k in range(60)]
+    rows += [r for r in rows if r[2] == "a"] * 5
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    for r in mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect():
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - t) <= 6 * 9 for s, t in wanted(sizes).items())
