@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -48,10 +50,17 @@ def released(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | N
 
 
 def folder(df: DataFrame) -> str:
-    """The shared checkpoint folder, set now where none is."""
+    """The shared checkpoint folder, set now where none is. Only a local session, as in tests,
+    may do without spark.checkpoint.dir: it gets a folder of its own, removed at its end."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            shared = tempfile.mkdtemp(prefix="checkpoints")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -68,10 +77,15 @@ def cut(df: DataFrame, rows: int = 100_000) -> DataFrame:
 
     The rows are counted as they are written; reading them takes no more tasks than one for
     ``rows`` rows, so that a small table does not go on in hundreds of near-empty pieces."""
+    return counted(df, rows)[0]
+
+
+def counted(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
+    """:func:`cut` and the number of rows."""
     folder(df)
     seen = Observation()
     done = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    return done.coalesce(max(1, -(-seen.get["n"] // rows)))
+    return done.coalesce(max(1, -(-seen.get["n"] // rows))), seen.get["n"]
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

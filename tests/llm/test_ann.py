@@ -30,39 +30,77 @@ def float32(vectors):
     return {i: np.asarray(v, np.float32).astype(float) for i, v in vectors.items()}
 
 
-@pytest.mark.parametrize("shard,block,leaf", [(16_384, 1_024, 512), (60, 7, 10)])
-def test_exact_at_factor_one(spark, monkeypatch, shard, block, leaf):
-    monkeypatch.setattr(ann, "SHARD_ROWS", shard)
-    monkeypatch.setattr(ann, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("shard,leaf,queries", [(16_384, 512, 65_536), (60, 10, 7), (25, 4, 3), (100, 200, 5)])
+def test_exact_at_factor_one(spark, shard, leaf, queries):
+    """One shard, several regions of several shards each, and shards in several copies."""
     r = np.random.default_rng(2)
-    vectors = float32({int(i): r.normal(size=8) * r.exponential() for i in range(0, 900, 3)})
-    got, want = collected(ann.nearest(frame(spark, vectors), every=20, factor=1.0)), brute(vectors, 20, 20)
+    vectors = float32({int(i): r.normal(size=8) * r.exponential() for i in range(0, 1_800, 3)})
+    got = collected(ann.nearest(frame(spark, vectors), every=20, factor=1.0, shard_rows=shard, leaf=leaf, sample_rows=200, query_rows=queries))
+    want = brute(vectors, 20, 20)
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
     assert all(np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-12) for q in want)
 
 
-@pytest.mark.parametrize("factor", [1.0, 3.0])
-def test_tree_against_all(factor):
-    r = np.random.default_rng(3)
-    centres = r.normal(size=(40, 16))
-    x = centres[r.integers(0, 40, 6_000)] + 0.15 * r.normal(size=(6_000, 16))
-    q = x[:200]
+def clustered(seed, count, size=16):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(40, size))
+    return centres[r.integers(0, 40, count)] + 0.15 * r.normal(size=(count, size))
+
+
+def searched(x, q, k, factor, leaf=64, floor=None):
     top = np.sqrt((x * x).sum(1).max()) * (1 + 1e-12)
-    found = ann.search_block(np.arange(6_000), x, np.arange(200), q, 10, factor, top)
-    score = q @ x.T
-    score[np.arange(200), np.arange(200)] = -np.inf
-    want = np.argsort(-score, axis=1)[:, :10]
-    recall = np.mean([len(set(found.vec_id[found.query_id == k]) & set(want[k])) / 10 for k in range(200)])
+    tree = ann.VpTree(ann.added(x, top), leaf)
+    floor = np.full(len(q), -np.inf) if floor is None else floor
+    return tree, ann.Search(tree.nodes, x[tree.order], tree.order, q, floor, k, factor, top)
+
+
+@pytest.mark.parametrize("factor,leaf", [(1.0, 64), (1.0, 512), (3.0, 512)])
+def test_tree_against_all(factor, leaf):
+    x = clustered(3, 6_000)
+    tree, s = searched(x, x[:200], 10, factor, leaf)
+    want = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
+    recall = np.mean([len(set(s.found[k]) & set(want[k])) / 10 for k in range(200)])
     assert recall == 1 if factor == 1 else recall >= 0.9
+    assert (tree.nodes[:, 5] >= 0).sum() >= 6_000 // leaf // 2
 
 
 def test_pruning_leaves_parts_out():
     r = np.random.default_rng(4)
     x = np.repeat(np.eye(16)[:8] * 5, 700, axis=0) + 0.01 * r.normal(size=(5_600, 16))
-    top = np.sqrt((x * x).sum(1).max())
-    tree = ann.VpTree(np.column_stack([x, np.sqrt(np.maximum(top**2 - (x * x).sum(1), 0))]))
-    search = ann.Search(tree, x, np.arange(5_600), x[:20], np.arange(20), 5, 1.0, top)
-    assert search.pruned and search.scanned < 20 * 5_600 * 0.6
+    _, s = searched(x, x[:20], 5, 1.0, 128)
+    assert s.pruned and s.scanned < 20 * 5_600 * 0.6
+    best = np.sort(x[:20] @ x.T, axis=1)[:, -5]
+    _, known = searched(x, x[:20], 5, 1.0, 128, floor=best)
+    assert known.scanned <= s.scanned and (known.found == s.found).all()
+
+
+def test_regions_prune_whole_shards(spark):
+    """Clusters that lie apart: a query visits few of the shards, and finds what brute force finds."""
+    r = np.random.default_rng(8)
+    x = 20 * np.repeat(np.eye(8), 300, axis=0) + r.normal(size=(2_400, 8)) * 0.5
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = float32(dict(enumerate(x)))
+    held, visits = ann._admitted, []
+
+    def watched(*args):
+        out = held(*args)
+        visits.append(out.count())
+        return out
+
+    ann._admitted = watched
+    try:
+        got = collected(ann.nearest(frame(spark, vectors), shard_rows=300, leaf=32, sample_rows=600))
+    finally:
+        ann._admitted = held
+    want = brute(vectors, 20, 20)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert visits[0] <= 4 * len(want)  # of eight regions
+
+
+def test_many_copies_of_one_vector(spark):
+    vectors = float32({i: [3.0, 1.0] if i % 3 else [i / 100, 1.0] for i in range(600)})
+    got, want = collected(ann.nearest(frame(spark, vectors), shard_rows=50, leaf=8, query_rows=4)), brute(vectors, 20, 20)
+    assert got == want
 
 
 def test_ties_and_equal_vectors(spark):
@@ -74,8 +112,10 @@ def test_ties_and_equal_vectors(spark):
 def test_recall_on_embeddings(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     vectors = {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
-    got, want = collected(ann.nearest(rows)), brute(vectors, 20, 20)
+    got, want = collected(ann.nearest(rows, shard_rows=100, leaf=16)), brute(vectors, 20, 20)
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    fifty = collected(ann.nearest(rows, every=50, shard_rows=100, leaf=16))
+    assert np.mean([len({i for i, _ in fifty[q]} & {i for i, _ in v}) / 20 for q, v in brute(vectors, 50, 20).items()]) >= 0.9
 
 
 def test_recall_with_varying_norms(spark):
