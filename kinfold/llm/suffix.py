@@ -3,18 +3,21 @@
 A window is a string of 200 bytes; its anchor is the least hash among its 48-byte strings, so
 equal windows have equal anchors at equal places. Windows next to each other mostly share an
 anchor, and such a run of windows is one row: the anchor, a hash of the run's bytes, its place.
-Equal runs are repeats without further ado; within a task they are counted before anything is
-shuffled. A run whose anchor stands elsewhere in other surroundings goes on, with its bytes.
+Equal runs of a task, compared byte by byte, are one row from there on. Runs whose anchor stands
+elsewhere, too, go on with their bytes.
 
-All suffixes that begin such runs of one anchor form a bucket. Buckets are sorted block by block.
+All suffixes that begin the runs of one anchor form a bucket. Buckets are sorted block by block.
 A sample of positions, a difference cover modulo 64, is ranked beforehand by 192 bytes: the
 first 64 by sorting words, the rest by the ranks of the sample positions 64 and 128 further.
 Any suffix meets the sample within 8 bytes, so it is ordered by its first word, the rank of the
 sample position it meets and its last word; long ties cost no more than short ones. Neighbours
 that agree are equal windows.
 
-A bucket with very many runs is not sorted in one task: its windows are spread by their own
-hashes, 128 bits, and counted.
+A bucket of very many runs is first split: the windows that begin 0 to 18 bytes before the
+anchor, 19 to 37, and so on, are parts of their own, and of a part only runs that agree in the
+bytes all its windows cover can hold equal windows. Parts that are still too large are split
+into narrower ones, down to single windows. Runs of a part that are equal within a task become
+one row again, so a passage that is everywhere ends in as many rows as there are tasks.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, released, saved, ship, small
+from .common import BROADCAST_ROWS, counted, cut, released, saved, ship, small
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 200
@@ -38,8 +42,9 @@ CHUNK = 1 << 18
 PLACE_BITS = 22
 #: Bytes of runs in a block that is sorted at once.
 BLOCK = 1_000_000
-#: Runs of an anchor from which its windows are counted by hash instead.
-CROWD = 20_000
+#: Runs of a bucket beyond which it is split, and the widths in windows of the parts.
+CROWD = 4_000
+WIDTHS = (19, 4, 1)
 COVER_MOD = 64
 #: The difference cover: every difference modulo 64 is one of a multiple of 8 and a number below 8.
 COVER = sorted({*range(8), *range(0, COVER_MOD, 8)})
@@ -174,49 +179,55 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts (key, text) to rows: the runs, those seen once and those seen more often."""
     for batch in batches:
+        keys, texts = batch.column(0).to_numpy(), batch.column(1)
         found = []
         for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            raw = [(k, t.encode()) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-            raw = [(k, t) for k, t in raw if len(t) >= LENGTH]
-            found.append(_all_runs([k for k, _ in raw], [t for _, t in raw]))
+            raw = [(k + n, t.encode()) for n, t in enumerate(texts.slice(k, 500).to_pylist())]
+            raw = [(n, t) for n, t in raw if len(t) >= LENGTH]
+            found.append(_all_runs([n for n, _ in raw], [t for _, t in raw]))
         if not found:
             continue
-        key, anchor, digest, first, count, offset = (np.concatenate(c) for c in zip(*found))
+        row, anchor, digest, first, count, offset = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((digest, anchor))
-        key, anchor, digest, first, count, offset = (c[order] for c in (key, anchor, digest, first, count, offset))
+        row, anchor, digest, first, count, offset = (c[order] for c in (row, anchor, digest, first, count, offset))
         group, head = _groups(anchor, digest)
-        many = np.bincount(group, minlength=len(head)) > 1
+        same = _verified(texts, row, first, count, group, head)
+        many = np.bincount(group, same, minlength=len(head)) > 1
+        at, key = first << 16 | count << 8 | offset, keys[row]
         kind = np.where(many, 1, 0).astype(np.int8)
-        at = first << 16 | count << 8 | offset
         yield _rows(anchor[head], digest[head], key[head], at[head], kind)
+        if not same.all():  # equal hashes of other bytes
+            odd = ~same
+            yield _rows(anchor[odd], digest[odd], key[odd], at[odd], np.zeros(odd.sum(), np.int8))
         if many.any():
-            own = many[group]
+            own = many[group] & same
             yield _ranges(key[own], first[own], first[own] + count[own] - 1)
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and digest to ranges of repeats and, for anchors of several
-    surroundings, one row per run to be compared: kind 0 if it stands once, 1 if more often."""
+def _verified(texts: pa.Array, row: np.ndarray, first: np.ndarray, count: np.ndarray, group: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Whether each run has the bytes of its group's first one."""
+    same = np.ones(len(row), bool)
+    same[head] = False
+    asked = np.flatnonzero(same)
+    same[:] = True
+    if not len(asked):
+        return same
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset :]
+    data = memoryview(texts.buffers()[2])
+    begin, size = offsets[row] + first, count + LENGTH - 1
+    of = head[group[asked]]
+    for k, a, b, n, m in zip(asked.tolist(), begin[asked].tolist(), begin[of].tolist(), size[asked].tolist(), size[of].tolist(), strict=True):
+        same[k] = n == m and data[a : a + n] == data[b : b + n]
+    return same
 
-    def settle(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        through = cols[4] == 2
-        if through.any():
-            yield _rows(*(c[through] for c in cols))
-            cols = [c[~through] for c in cols]
-        anchor, digest, key, at, kind = cols
-        if not len(anchor):
-            return
-        group, head = _groups(anchor, digest)
-        many = (np.bincount(group) > 1) | (np.bincount(group, kind == 1) > 0)
-        first, count = at >> 16, at >> 8 & 255
-        own = many[group] & (kind == 0)
-        if own.any():
-            yield _ranges(key[own], first[own], first[own] + count[own] - 1)
-        bucket, _ = _groups(anchor[head])
-        open_ = (np.bincount(bucket) > 1) & (np.bincount(bucket, ~many) > 0)
-        ask = open_[bucket]
-        yield _rows(anchor[head][ask], digest[head][ask], key[head][ask], at[head][ask], many[ask].astype(np.int8))
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor: those whose anchor has another row."""
+
+    def settle(cols: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, _ = _groups(cols[0])
+        shared = (np.bincount(bucket) > 1)[bucket]
+        return _rows(*(c[shared] for c in cols))
 
     held: list[list[np.ndarray]] = []
     size = 0
@@ -229,52 +240,75 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = [np.concatenate(c) for c in zip(*held)]
             last = np.searchsorted(cols[0], cols[0][-1])
             if last:
-                yield from settle([c[:last] for c in cols])
+                yield settle([c[:last] for c in cols])
             held = [[c[last:] for c in cols]]
             size = len(held[0][0])
     if held:
-        yield from settle([np.concatenate(c) for c in zip(*held)])
+        yield settle([np.concatenate(c) for c in zip(*held)])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(packed text, asked) to (anchor, key, at, kind, body): the bytes of the runs asked for."""
+    """(packed piece, asked, start) to (anchor, key, at, kind, body): the bytes of the runs asked for."""
     open_ = zstandard.ZstdDecompressor()
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             part = batch.slice(k, 200)
             out: list[tuple] = []
-            for packed, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for packed, asked, start in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 raw = open_.decompress(packed)
                 for x in asked:
-                    first, count = x["at"] >> 16, x["at"] >> 8 & 255
+                    first, count = (x["at"] >> 16) - start, x["at"] >> 8 & 255
                     out.append((x["anchor"], x["key"], x["at"], x["kind"], raw[first : first + count + LENGTH - 1]))
             made = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary()), strict=True)], ["anchor", "key", "at", "kind", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, _BODY.values(), strict=True)], list(_BODY))
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with their bytes to one row per window: two hashes, key, place, kind."""
-    power, inverse = _power(4 * LENGTH)
-    for batch in batches:
-        out = []
-        for key, at, kind, body in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-            first, count = at >> 16, at >> 8 & 255
-            b = np.frombuffer(body, np.uint8)
-            hashes = []
-            for table in (_BYTES, _BYTES[::-1]):
-                total = np.concatenate(([np.uint64(0)], np.cumsum(table[b] * power[: len(b)])))
-                hashes.append(_mix((total[LENGTH:] - total[:-LENGTH]) * inverse[:count]).view(np.int64))
-            out.append((*hashes, np.full(count, key), first + np.arange(count), np.full(count, kind, np.int8)))
-        if out:
-            yield _rows(*(np.concatenate(c) for c in zip(*out)))
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows (key, place) to ranges."""
-    for batch in batches:
-        if batch.num_rows:
-            key, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield _ranges(key, place, place)
+_BODY = {"anchor": pa.int64(), "key": pa.int64(), "at": pa.int64(), "kind": pa.int8(), "body": pa.binary()}
+_BODY_SQL = "anchor bigint, key bigint, at bigint, kind tinyint, body binary"
+
+
+def split(rows: list[tuple], width: int) -> list[tuple]:
+    """Runs (bucket, key, at, kind, body) of too large buckets, cut into parts of ``width``
+    distances from the anchor, each in a bucket of runs that agree where all its windows do.
+    Equal parts become one of kind 1; ranges that this proves to be repeats have kind 2, the
+    last window as bucket and the first as place."""
+    seen: dict[tuple, list] = {}
+    out = []
+    for bucket, key, at, kind, body in rows:
+        first, count, offset = at >> 16, at >> 8 & 255, at & 255
+        window = 0
+        while window < count:
+            part = (offset - window) // width  # distances part * width up to the next part's
+            n = min(count - window, offset - window - part * width + 1)
+            own = body[window : window + n + LENGTH - 1]
+            near, far = part * width, part * width + width - 1
+            place = offset - window  # the anchor in ``own``
+            core = own[max(0, place - near) : place - far + LENGTH]
+            named = xxhash.xxh64_intdigest(core, seed=xxhash.xxh64_intdigest(f"{bucket} {width} {part}")) - (1 << 63)
+            same = (named, place, own)
+            if same in seen:
+                head = seen[same]
+                if head[3] == 0:
+                    out.append((head[1] + head[2] - 1, head[0], head[1], 2, None))
+                    head[3] = 1
+                if kind == 0:
+                    out.append((first + window + n - 1, key, first + window, 2, None))
+            else:
+                seen[same] = [key, first + window, n, kind]
+            window += n
+    return out + [(named, key, first << 16 | n << 8 | place, kind, own) for (named, place, own), (key, first, n, kind) in seen.items()]
+
+
+def _split(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 4_000):
+                batch = whole.slice(k, 4_000)
+                made = list(zip(*split(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), width)))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, _BODY.values(), strict=True)], list(_BODY))
+
+    return run
 
 
 def _words(t: np.ndarray) -> np.ndarray:
@@ -380,38 +414,75 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, packed binary")
 
 
+def _pieced(rows: DataFrame) -> DataFrame:
+    """(key, piece, packed): the texts' pieces, compressed for a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tight = zstandard.ZstdCompressor(level=3)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                made = [(key, start // CHUNK, tight.compress(raw)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for key, start, raw in _pieces(n, t.encode())]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "piece", "packed"])
+
+    return rows.select("key", "text").mapInArrow(released(run), "key bigint, piece bigint, packed binary")
+
+
 def _bodies(rows: DataFrame, runs_: DataFrame) -> DataFrame:
-    """(anchor, key, at, kind, body): runs with their bytes, from the texts of ``rows``."""
-    asked = runs_.groupBy("key").agg(F.collect_list(F.struct("anchor", "key", "at", "kind")).alias("asked"))
-    texts = runs_.select("key").distinct()
-    few = texts.count() <= BROADCAST_ROWS
-    wanted = rows.join(F.broadcast(texts), "key", "left_semi") if few else rows
-    packed = _packed(wanted).dropDuplicates(["key"]).join(asked, "key").select("packed", "asked")
-    return packed.mapInArrow(released(_cut_out), "anchor bigint, key bigint, at bigint, kind tinyint, body binary")
+    """(anchor, key, at, kind, body): runs with their bytes, from the texts of ``rows``. Texts go
+    by pieces, so neither a text nor what is asked of it need fit one row."""
+    piece = F.shiftright("at", 16 + CHUNK.bit_length() - 1).alias("piece")
+    asked = runs_.groupBy("key", piece).agg(F.collect_list(F.struct("anchor", "key", "at", "kind")).alias("asked"))
+    texts, few = counted(runs_.select("key").distinct())
+    wanted = rows.join(F.broadcast(texts), "key", "left_semi") if few <= BROADCAST_ROWS else rows
+    packed = _pieced(wanted).dropDuplicates(["key", "piece"]).join(asked, ["key", "piece"]).select("packed", "asked", (F.col("piece") * CHUNK).alias("start"))
+    return packed.mapInArrow(released(_cut_out), _BODY_SQL)
+
+
+def _ranges_of(found: DataFrame) -> DataFrame:
+    """The ranges among rows of either form, as (key, span)."""
+    last = "anchor" if "body" in found.columns else "digest"
+    return found.where("kind = 2").select("key", F.struct(F.col("at").alias("first"), F.col(last).alias("last")).alias("span"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """(key, spans): per text with repeats the windows, as array of first and last, that equal a
-    window elsewhere. A text's key is a hash of its id and text."""
+    window elsewhere. A text's key is a hash of its id and text. ``crowd`` (:data:`CROWD`) only
+    decides how the work is parted."""
     rows = _keyed(docs, id_col, text_col)
     scanned = saved(rows.select("key", "text").mapInArrow(released(_scan), _ROW_SQL))
-    crowded = cut(scanned.where("kind < 2").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor"))
-    many = crowded.count()
-    calm = scanned.where("kind < 2")
-    calm = calm.join(small(crowded, many), "anchor", "left_anti") if many else calm
-    matched = cut(calm.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(released(_match), _ROW_SQL))
-    bodies = _bodies(rows, matched.where("kind < 2"))
-    found = bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(_sort), _ROW_SQL)
-    if many:
-        windows = _bodies(rows, scanned.where("kind < 2").join(small(crowded, many), "anchor", "left_semi")).mapInArrow(released(_windows), _ROW_SQL)
-        windows = saved(windows.toDF("w1", "w2", "key", "place", "kind"))
-        twice = windows.groupBy("w1", "w2").agg((F.count("*") + F.max("kind")).alias("n")).where("n > 1").select("w1", "w2")
-        found = found.unionByName(windows.where("kind = 0").join(twice, ["w1", "w2"], "left_semi").select("key", "place").mapInArrow(released(_spans), _ROW_SQL))
-    spans = scanned.where("kind = 2").unionByName(matched.where("kind = 2")).unionByName(found).select("key", F.struct(F.col("at").alias("first"), F.col("digest").alias("last")).alias("span"))
+    single = scanned.where("kind < 2")
+
+    def parted(buckets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The rows of buckets of at most ``crowd`` rows, and those of the others, if any."""
+        large, many = counted(buckets.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor"))
+        if not many:
+            return buckets, None
+        large = small(large, many)
+        return buckets.join(large, "anchor", "left_anti"), buckets.join(large, "anchor", "left_semi")
+
+    def sorted_(bodies: DataFrame) -> DataFrame:
+        return bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(_sort), _ROW_SQL)
+
+    calm, hot = parted(single)
+    shared = cut(calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(_shared), _ROW_SQL))
+    found = [scanned, sorted_(_bodies(rows, shared))]
+    hot = saved(_bodies(rows, hot)) if hot is not None else None
+    for width in WIDTHS if hot is not None else ():
+        parts = saved(hot.mapInArrow(released(_split(width)), _BODY_SQL))
+        found.append(parts)
+        calm, hot = parted(parts.where("kind < 2")) if width > 1 else (parts.where("kind < 2"), None)
+        found.append(sorted_(calm))
+        if hot is None:
+            break
+    spans = _ranges_of(found[0])
+    for more in found[1:]:
+        spans = spans.unionByName(_ranges_of(more))
     return spans.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """Each text without the bytes that a repeated 200-byte string covers.
 
     Returns ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, the
@@ -421,7 +492,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result.
     """
     rows = _keyed(docs, id_col, text_col)
-    joined = _packed(rows).join(repeats(docs, id_col, text_col), "key", "left").select("doc_id", "packed", "spans")
+    joined = _packed(rows).join(repeats(docs, id_col, text_col, crowd), "key", "left").select("doc_id", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -448,6 +519,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(released(run), f"key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("key", id_col)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """The query's columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs, crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -3,6 +3,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from kinfold.llm import suffix
 
@@ -24,10 +26,10 @@ def brute(texts, length=200):
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, **options):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute([(t or "").encode() for _, t in rows])
-    got = Counter(tuple(r) for r in suffix.digests(docs).collect())
+    got = Counter(tuple(r) for r in suffix.digests(docs, **options).collect())
     assert got == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
@@ -50,10 +52,22 @@ def test_passages(spark):
     check(spark, passages(1, 120))
 
 
-def test_crowded_anchors(spark, monkeypatch):
-    """Anchors of more than a few runs go another way, with the same result."""
-    monkeypatch.setattr(suffix, "CROWD", 3)
-    check(spark, passages(1, 120) + [(200 + k, f"{k}" + "passage " * 30 + f"{k % 3}") for k in range(12)])
+@pytest.mark.parametrize("crowd", [1, 3, 20])
+def test_crowded_anchors(spark, crowd):
+    """Buckets of more than a few runs are split, down to single windows."""
+    r = random.Random(8)
+    common = "".join(r.choice("abcdef") for _ in range(260))
+    edges = [(300 + k, "".join(r.choice("uvw") for _ in range(30 + k % 40)) + common[k % 3 :] + "".join(r.choice("xyz") for _ in range(k % 50))) for k in range(40)]
+    check(spark, passages(1, 60) + edges + edges[:3] + [(200 + k, f"{k}" + "passage " * 30 + f"{k % 3}") for k in range(12)], crowd=crowd)
+
+
+def test_equal_hashes_are_compared(spark):
+    texts = pa.array(["x" * 250, "x" * 249 + "y", "x" * 250])
+    one, group = np.array([0, 1, 2]), np.zeros(3, np.int64)
+    same = suffix._verified(texts, one, np.zeros(3, np.int64), np.full(3, 51), group, np.zeros(1, np.int64))
+    assert same.tolist() == [True, False, True]
+    sliced = suffix._verified(texts.slice(1), one[:2], np.zeros(2, np.int64), np.full(2, 51), group[:2], np.zeros(1, np.int64))
+    assert sliced.tolist() == [True, False]
 
 
 def test_periodic_and_low_variety(spark):
