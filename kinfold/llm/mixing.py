@@ -3,7 +3,8 @@
 A document of a source is to be taken target / source size times. The whole part is certain;
 the fraction is a probability. Pairs of documents exchange expected words: at random, so that
 no expectation changes, mass moves until one probability is 0 or 1, and the words of a pair
-stay what they were. Blocks of one source round all but one of their documents; what is left
+stay what they were. Equal rows are one item with a count: paired with each other, all but one of
+them are decided at once. Blocks of one source round all but one of their documents; what is left
 goes up a tree of blocks, and only the last document of a source is rounded on its own. Blocks
 go from long to short documents, so that the one left is short. What its rounding costs in words
 is then made good within its block, by documents that fit the gap.
@@ -20,23 +21,50 @@ from .common import cut, small, uniform
 BLOCK = 256
 #: Most copies of a document, and so the most of a target per word of its source.
 MOST = 3
+#: Equal rows that one step writes out; more are dealt over the tasks first.
+TIMES = 10_000
+
+
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with, per name, the sum of an expression over all rows before by ``order``. Rows
+    are sorted over ranges, so no task holds all; what is added up in one is a row a range."""
+    rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("part", F.shiftright("at", 33))
+    earlier = "rows between unbounded preceding and 1 preceding"
+    parts = rows.groupBy("part").agg(*(F.sum(F.expr(e)).alias(k) for k, e in sums.items()))
+    parts = parts.select("part", *(F.expr(f"coalesce(sum({k}) over (order by part {earlier}), 0) as start_{k}") for k in sums))
+    within = rows.withColumns({k: F.expr(f"coalesce(sum({e}) over (partition by part order by at {earlier}), 0)") for k, e in sums.items()})
+    whole = within.join(F.broadcast(parts), "part")
+    return whole.withColumns({k: F.col(k) + F.col(f"start_{k}") for k in sums}).drop("at", "part", *(f"start_{k}" for k in sums))
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """(source, source_size, docs, target): weights 1, 2, 3 in turn by the source's code points,
-    null last; no target above MOST times its source, the excess shared again by weight.
+    """(source, source_size, docs, target) of ``sized`` (source, size, n: how many such rows):
+    weights 1, 2, 3 in turn by the source's code points, null last; no target above MOST times
+    its source, the excess shared again by weight. docs counts items, not rows.
 
     Sources by how soon they reach their cap: those before the first source that the level of
-    the rest does not fill are capped, all others get weight times that level.
+    the rest does not fill are capped, all others get weight times that level. Only totals and
+    that level come to the driver.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    ranked = sums.withColumn("weight", F.expr("cast(1 + (row_number() over (order by source asc nulls last) - 1) % 3 as double)"))
-    ranked = ranked.withColumns({"cap": F.expr(f"{MOST}D * source_size"), "total": F.expr("cast(sum(source_size) over () as double)")})
-    order = "(order by cap / weight, source asc nulls last rows between unbounded preceding and 1 preceding)"
-    level = f"(total - coalesce(sum(cap) over {order}, 0D)) / (sum(weight) over () - coalesce(sum(weight) over {order}, 0D))"
-    ranked = ranked.withColumn("level", F.expr(level)).withColumn("filled", F.expr("level > cap / weight"))
-    ranked = ranked.withColumn("level", F.expr("(min(if(filled, null, struct(cap / weight as reach, level as level))) over ()).level"))
-    return ranked.select("source", "source_size", "docs", F.expr("least(cap, coalesce(level, 0D) * weight)").alias("target"))
+    by_name = F.col("source").asc_nulls_last()
+    sums = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("docs"))
+    ranked = _before(sums, [by_name], {"rank": "1"}).withColumn("weight", F.expr("cast(1 + rank % 3 as double)")).drop("rank")
+    ranked = ranked.withColumn("cap", F.expr(f"{MOST}D * source_size")).withColumn("reach", F.expr("cap / weight"))
+    placed = cut(_before(ranked, [F.col("reach"), by_name], {"below": "cap", "light": "weight"}))
+    total, weights = placed.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    levels = placed.withColumn("level", F.expr(f"({total or 0.0!r}D - below) / ({weights or 0.0!r}D - light)"))
+    first = levels.where("level <= reach").agg(F.min(F.struct("reach", "below", "level")).alias("f")).first().f
+    return placed.select("source", "source_size", "docs", F.expr(f"least(cap, {first.level if first else 0.0!r}D * weight)").alias("target"))
+
+
+def _times(rows: DataFrame) -> DataFrame:
+    """Each row as often as its column times says."""
+    columns = [c for c in rows.columns if c != "times"]
+    few = rows.where(f"times between 1 and {TIMES}").withColumn("k", F.explode(F.expr("sequence(1, cast(times as int))")))
+    many = rows.where(f"times > {TIMES}").withColumn("part", F.explode(F.expr(f"sequence(0, (times - 1) div {TIMES})")))
+    many = many.repartition("doc_id", "part").withColumn("k", F.explode(F.expr(f"sequence(1, cast(least({TIMES}, times - part * {TIMES}) as int))")))
+    return few.select(*columns).unionByName(many.select(*columns))
 
 
 def _round(items: DataFrame, blocks: str, seed: int) -> DataFrame:
@@ -98,16 +126,22 @@ def mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     repeated or with a null doc_id count as documents of their own; an empty table gives an
     empty result. A rerun decides alike.
     """
-    sized = cut(sized.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("size").cast("bigint")))
+    sized = sized.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("size").cast("bigint"))
+    sized = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
     wanted = cut(targets(sized))
     sources, most = wanted.agg(F.count("*"), F.max("docs")).first()
     share = F.expr("if(source_size > 0, target / source_size, 0D)")
     rates = small(wanted.select(F.col("source").alias("of"), "docs", share.alias("rate")), sources)
     rated = sized.join(rates, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    sure = rated.where("size = 0 or rate = floor(rate)").selectExpr("doc_id", "source", "size", "if(size = 0, 0, cast(rate as int)) as copies")
-    items = rated.where("size > 0 and rate <> floor(rate)").selectExpr("source", "docs", "cast(floor(rate) as int) as floor", "struct(doc_id, size, rate - floor(rate) as p) as item")
+    sure = rated.where("size = 0 or rate = floor(rate)").selectExpr("doc_id", "source", "size", "if(size = 0, 0, cast(rate as int)) as copies", "n as times")
+    items = rated.where("size > 0 and rate <> floor(rate)").withColumn("floor", F.expr("cast(floor(rate) as int)"))
+    items = items.withColumn("mass", F.expr("n * (rate - floor)")).withColumn("ones", F.expr("least(n, cast(floor(mass) as bigint))"))
+    items = items.withColumn("open", F.expr("mass > ones and ones < n"))
+    alike = items.where("n > 1").withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    alike = alike.selectExpr("doc_id", "source", "size", "floor + side as copies", "if(side = 1, ones, n - ones - if(open, 1, 0)) as times")
+    items = items.where("open").selectExpr("source", "docs", "struct(doc_id, size, mass - ones as p) as item")
     floors = small(wanted.select(F.col("source").alias("of"), F.floor(share).cast("int").alias("floor")), sources)
-    out, level, per_block = [sure], 0, 1
+    out, level, per_block = [_times(sure.unionByName(alike))], 0, 1
     while True:
         blocks = f"cast(ceil(docs / {float(BLOCK * per_block)}D) as bigint)"
         rounded = _round(items, blocks, seed * 1000 + level)

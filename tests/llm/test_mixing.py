@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinfold.llm import mixing
 
@@ -50,6 +51,10 @@ def test_targets_and_bounds(spark, seed):
     check(spark, made(seed, 4 + seed * 5, 500), seed)
 
 
+def test_sources_of_equal_size(spark):
+    check(spark, [(s * 10 + k, f"s{s}", 20 + k) for s in range(7) for k in range(10)])
+
+
 def test_several_levels(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 8)
     check(spark, made(9, 5, 900))
@@ -72,15 +77,34 @@ def test_reruns_agree_however_rows_lie(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
-def test_expectation_is_kept(spark):
-    """Over many seeds a document is taken about as often as its share says."""
-    rows = [(k, "ab"[k % 2], 10 + k) for k in range(12)]
+def test_expectation_is_kept(spark, monkeypatch):
+    """Over many sources of like documents a document is taken as often as its share says,
+    whether or not the last block makes good what the last rounding costs."""
+    count, docs_each = 1_500, 40
+    sizes = [20 + 7 * k for k in range(docs_each)]
+    rows = [(n * docs_each + k, f"s{n:05d}", size) for n in range(count) for k, size in enumerate(sizes)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
-    total, runs = defaultdict(int), 60
-    for seed in range(runs):
-        for r in mixing.mix(docs, seed).select("doc_id", "copies", "target", "source_size").collect():
-            total[r.doc_id] += r.copies - r.target / r.source_size
-    assert all(abs(t / runs) < 0.3 for t in total.values())
+
+    def shift():
+        total = defaultdict(float)
+        for r in mixing.mix(docs).collect():
+            if int(r.source[1:]) % 3 == 0:  # sources of one weight, half of whose words are asked for
+                total[r.doc_id % docs_each] += r.copies - r.target / r.source_size
+        return [total[k] / (count // 3) for k in range(docs_each)]
+
+    settled = shift()
+    monkeypatch.setattr(mixing, "_settled", lambda seed: F.concat("done", F.array(F.struct(F.col("open").alias("item"), (mixing.uniform("open.doc_id", "open.size", F.lit(seed * 1000 + 999)) < F.col("open.p")).cast("int").alias("up")))))
+    plain = shift()
+    error = 4 * 0.5 / (count // 3) ** 0.5  # four standard errors
+    assert max(map(abs, plain)) < error and max(map(abs, settled)) < error
+
+
+def test_equal_rows_share_blocks_with_none(spark):
+    """Very many rows of one id and size, null included, are one item with a count."""
+    rows = spark.range(60_000).selectExpr("if(id % 2 = 0, null, 7L) as doc_id", "if(id % 4 < 3, 'a', 'b') as source", "10L as size")
+    got = mixing.mix(rows).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"), F.max("copies").alias("most")).collect()
+    assert sorted((r.source, r.n) for r in got) == [("a", 45_000), ("b", 15_000)]
+    assert all(abs(r.taken - r.target) <= 10 and r.most <= 3 for r in got)
 
 
 def test_sizes(spark):
