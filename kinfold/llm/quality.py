@@ -155,8 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``rows`` labelled documents, those whose ids hash lowest.
 
     Rows with a null id or a label other than 0 and 1 are left out; of several labels of an id
-    the largest counts. The sampled ids (at most ``rows``) are broadcast to the scan of the
-    texts, the statistics are computed there, and only their numbers come to the driver.
+    the largest counts, of several rows of an id the one with the least statistics. The sampled
+    ids (at most ``rows``) are broadcast to the scan of the texts, the statistics are computed
+    there, and only their numbers, one row an id, come to the driver.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -173,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(values), pa.list_(pa.float64()))], ["key", "label", "x"])
 
     kind = sample.schema["key"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"key {kind}, label double, x array<double>").toArrow().sort_by("key")
+    found = sample.mapInArrow(run, f"key {kind}, label double, x array<double>")
+    got = found.groupBy("key").agg(F.min(F.struct("label", "x")).alias("r")).select("key", "r.label", "r.x").toArrow().sort_by("key")
     x = np.array(got["x"].to_pylist(), np.float64).reshape(got.num_rows, len(FEATURES))
     return fit(x, got["label"].to_numpy().astype(np.float64))
 
@@ -206,5 +208,7 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least THRESHOLD."""
+    """The rows of ``docs``, all columns, whose score is at least THRESHOLD. A null text counts
+    as empty; repeated rows and null ids are judged by their text like any other; an empty table
+    gives an empty result."""
     return _scored(model, docs, THRESHOLD, docs.columns.index(text_col), docs.schema)

@@ -37,6 +37,56 @@ def test_flat_walk_equals_recursion():
     assert np.allclose(trees.score(x), want) and ((trees.score(x) > 0.5) == y).mean() > 0.9
 
 
+def naive(x, y, trees, depth, rate, bins, ridge, least):
+    """The margin of every row, by trying each split of each feature on the rows themselves."""
+    good = (y.sum() + 1) / (len(y) + 2)
+    limits = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    margin = np.full(len(y), np.log(good / (1 - good)))
+
+    def grow(rows, step):
+        g, h = slope[rows].sum(), bend[rows].sum()
+        best = (1e-6, None)
+        for f in range(x.shape[1]) if step < depth and h > 2 * least else ():
+            for limit in limits[f]:
+                low = rows[x[rows, f] <= limit]
+                gl, hl = slope[low].sum(), bend[low].sum()
+                if hl >= least and h - hl >= least:
+                    gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g * g / (h + ridge)
+                    if gain > best[0] + 1e-12:
+                        best = gain, (f, limit)
+        if best[1] is None:
+            margin[rows] -= rate * g / (h + ridge)
+            return
+        f, limit = best[1]
+        grow(rows[x[rows, f] <= limit], step + 1)
+        grow(rows[x[rows, f] > limit], step + 1)
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        slope, bend = p - y, p * (1 - p)
+        grow(np.arange(len(y)), 0)
+    return margin
+
+
+def test_fit_equals_a_naive_one():
+    r = np.random.default_rng(5)
+    x = np.column_stack([r.normal(size=300), r.integers(0, 4, 300), r.exponential(size=300)])
+    y = ((x[:, 0] + x[:, 2] > 0.8) ^ (r.random(300) < 0.1)).astype(float)
+    options = {"trees": 6, "depth": 3, "rate": 0.3, "bins": 12, "ridge": 1.0, "least": 1.0}
+    got = quality.fit(x, y, **options).score(x)
+    assert np.allclose(got, 1 / (1 + np.exp(-naive(x, y, **options))), atol=1e-9)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """A labelled id that very many rows repeat comes to the driver once."""
+    docs = spark.range(3_000).selectExpr("id % 3 + 1 as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 30)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(x.shape) or quality.Trees(*([np.zeros(1, np.int64)] * 4), np.zeros(1), np.zeros(0, np.int64), 0.0, 0))
+    quality.train(docs, labels)
+    assert seen[0][0] <= 3
+
+
 @pytest.mark.parametrize("y", [[], [1.0, 1.0], [0.0]])
 def test_few_labels(y):
     trees = quality.fit(np.zeros((len(y), 3)), np.array(y))
