@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, CLOSE, END = "<|turn ", "|>", "<|end|>"
+#: Where a placeholder's number will stand; no escaped text holds it.
+_NUMBER = "<#>"
 #: Fields of a content part; all but ``type`` may be null.
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: Tokens of an image tile and its side in pixels, of a second of audio, of a document's page.
@@ -43,22 +45,28 @@ def _tokens(p: Column) -> Column:
 
 def visited(parts: Column) -> tuple[Column, Column]:
     """(body, attachments) of an array of parts. Placeholders are numbered within the turn; the
-    attachments are structs of number, type, ref and tokens, in the same order."""
+    attachments are structs of number, type, ref and tokens, in the same order.
+
+    Placeholders get their numbers after all parts are joined, where the body is cut at the
+    mark that stands for a number, so the work grows with the parts and not with their square."""
     kind = lambda p: F.coalesce(p["type"], F.lit("text"))
     other = F.filter(parts, lambda p: p.isNotNull() & (kind(p) != "text"))
     records = F.transform(other, lambda p, i: F.struct(i.cast("int").alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-    before = lambda i: F.size(F.filter(F.slice(parts, 1, i), lambda p: p.isNotNull() & (kind(p) != "text")))
     shown = F.transform(
         parts,
-        lambda p, i: F.when(p.isNull(), F.lit(""))
+        lambda p: F.when(p.isNull(), F.lit(""))
         .when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit(""))))
-        .otherwise(F.concat(F.lit("<|"), escape(p["type"]), F.lit(" "), before(i).cast("string"), F.lit(CLOSE))),
+        .otherwise(F.concat(F.lit("<|"), escape(p["type"]), F.lit(f" {_NUMBER}{CLOSE}"))),
     )
-    return F.coalesce(F.array_join(shown, ""), F.lit("")), F.coalesce(records, F.array().cast("array<struct<number:int,type:string,ref:string,tokens:bigint>>"))
+    pieces = F.split(F.array_join(shown, ""), _NUMBER, -1)
+    body = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat((i - 1).cast("string"), p))), "")
+    return F.coalesce(body, F.lit("")), F.coalesce(records, F.array().cast("array<struct<number:int,type:string,ref:string,tokens:bigint>>"))
 
 
-def _plain(text: Column) -> tuple[Column, Column]:
-    return escape(F.coalesce(text, F.lit(""))), F.array().cast("array<struct<number:int,type:string,ref:string,tokens:bigint>>")
+def text_part(text: Column) -> Column:
+    """An array of one text part."""
+    empty = {name: F.lit(None).cast(kind) for name, kind in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))}
+    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), *(c.alias(n) for n, c in empty.items())))
 
 
 def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
@@ -71,10 +79,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     rows are turns of their own; a null role or text is empty; rows with a null conversation
     form one. An empty table gives an empty result.
     """
-    if parts_col:
-        body, attached = visited(F.col(parts_col).cast(f"array<{PART}>"))
-    else:
-        body, attached = _plain(F.col(text_col))
+    body, attached = visited(F.col(parts_col).cast(f"array<{PART}>") if parts_col else text_part(F.col(text_col).cast("string")))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), body.alias("body"), attached.alias("attached"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(CLOSE))
     rows = rows.withColumn("shown", F.concat(head, "body", F.lit(END))).withColumn("head", F.char_length(head))
@@ -90,13 +95,36 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     return out.withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"]))
 
 
-def read_back(formatted: Column) -> Column:
-    """The turns (array of role and text) that a formatted string without placeholders holds."""
+def _bodies(formatted: Column) -> Column:
+    """The turns (array of role and the body as it stands) of a formatted string."""
     cut = F.split(formatted, r"<\|turn ")
     pieces = F.slice(cut, F.lit(2), F.size(cut))
     head = lambda p: F.instr(p, CLOSE)
     body = lambda p: F.substring(p, head(p) + len(CLOSE), F.char_length(p) - head(p) - len(CLOSE) + 1 - len(END))
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substring(p, F.lit(1), head(p) - 1)).alias("role"), unescape(body(p)).alias("text")))
+    return F.transform(pieces, lambda p: F.struct(unescape(F.substring(p, F.lit(1), head(p) - 1)).alias("role"), body(p).alias("body")))
+
+
+def _parts(body: Column) -> Column:
+    """The parts of a turn's body, in order: type, text (of a text) and number (of a placeholder)."""
+    pieces = F.filter(F.split(body, r"(?=<\|)|(?<=\|>)", -1), lambda p: p != "")
+    mark = lambda p: F.substring(p, F.lit(3), F.char_length(p) - 4)
+    placed = lambda p: p.startswith("<|")
+    return F.transform(
+        pieces,
+        lambda p: F.struct(
+            F.when(placed(p), unescape(F.regexp_replace(mark(p), " [0-9]+$", ""))).otherwise(F.lit("text")).alias("type"),
+            F.when(~placed(p), unescape(p)).alias("text"),
+            F.when(placed(p), F.regexp_extract(mark(p), " ([0-9]+)$", 1).cast("int")).alias("number"),
+        ),
+    )
+
+
+def read_back(formatted: Column) -> Column:
+    """The turns that a formatted string holds: array of role, parts (type, text, number) and
+    text, which is that of its text parts, joined."""
+    told = lambda parts: F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    read = F.transform(_bodies(formatted), lambda t: F.struct(t["role"].alias("role"), _parts(t["body"]).alias("parts")))
+    return F.transform(read, lambda t: F.struct(t["role"].alias("role"), t["parts"].alias("parts"), told(t["parts"]).alias("text")))
 
 
 def masked(formatted: Column, mask: Column) -> Column:

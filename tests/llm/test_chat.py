@@ -45,6 +45,28 @@ def test_parts(spark):
     assert got[1].attachment_tokens == 512 + 63 + 3072 and got[2].attachments == [] and got[2].attachment_tokens == 0
 
 
+def test_parts_are_read_back(spark):
+    parts = [("text", "a <|image 0|> <#> &lt;", None, None, None, None, None), ("image", None, "1.png", 1, 1, None, None), ("strange <|>7", None, "2", None, None, None, None), ("text", "<#>", None, None, None, None, None), ("image", None, "3.png", 1, 1, None, None)]
+    rows = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "<|end|>", parts[:1]), (1, 2, "x", None)], f"conv_id bigint, turn int, role string, parts array<{chat.PART}>")
+    out = chat.format_turns(rows, parts_col="parts").withColumn("turns", chat.read_back(F.col("formatted"))).first()
+    got = [(t.role, [(p.type, p.text, p.number) for p in t.parts]) for t in out.turns]
+    assert got == [
+        ("user", [("text", "a <|image 0|> <#> &lt;", None), ("image", None, 0), ("strange <|>7", None, 1), ("text", "<#>", None), ("image", None, 2)]),
+        ("<|end|>", [("text", "a <|image 0|> <#> &lt;", None)]),
+        ("x", []),
+    ]
+    assert [(a.number, a.ref) for a in out.attachments] == [(0, "1.png"), (1, "2"), (2, "3.png")]
+
+
+def test_very_many_parts(spark):
+    """A turn of 40,000 parts takes seconds, as the work does not grow with their square."""
+    part = F.struct(F.when(F.col("k") % 2 == 0, "text").otherwise("image").alias("type"), F.concat(F.lit("<"), F.col("k").cast("string")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages"))
+    rows = spark.range(40_000).withColumnRenamed("id", "k").coalesce(1).agg(F.collect_list(part).alias("parts")).selectExpr("1 as conv_id", "0 as turn", "'user' as role", "parts")
+    out = chat.format_turns(rows, parts_col="parts").withColumn("turns", chat.read_back(F.col("formatted"))).first()
+    assert len(out.attachments) == 20_000 and out.attachments[-1].number == 19_999
+    assert [p.text for p in out.turns[0].parts[::2]] == [f"<{k}" for k in range(0, 40_000, 2)] and [p.number for p in out.turns[0].parts[1::2]] == list(range(20_000))
+
+
 @pytest.mark.parametrize("text", ["&amp;lt;", "<&>", ""])
 def test_escaping(spark, text):
     r = spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t")).alias("e")).withColumn("u", chat.unescape(F.col("e"))).first()
