@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -86,5 +87,38 @@ def test_redaction(spark):
     assert got == {1: "x [PRIVATE] y [PRIVATE].", 2: "plain", 3: ""}
 
 
+def plain_redaction(text, spans):
+    out, at = "", 0
+    for a, _, b in sorted(spans):
+        if a >= at and b > at:
+            out += text[at:a] + "[PRIVATE]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_redaction_of_long_texts(spark, small):
+    made = " 🤖 ".join(f"user{k}@host{k % 7}.org said 10.0.{k % 256}.7 and +1234567{k:05d}" for k in range(3_000))
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10_000, made), (10_001, "ü" * 5_000)], "doc_id bigint, text string"))
+    for r in pii.redacted(pii.find(docs)).collect():
+        assert r.redacted == plain_redaction(r.text, [(x.start, x.kind, x.end) for x in [*r.base, *r.added]])
+
+
+def test_many_matches_in_linear_time(spark):
+    """100,000 numbers that are candidates or base spans, in seconds."""
+    texts = [" ".join(f"{k:06d}-{k % 9999:04d}" for k in range(100_000)), " ".join(f"+1234567{k:05d} a{k}@b.co" for k in range(100_000)), " ".join(f"555 {k % 900 + 100}-{k % 9000 + 1000} x" for k in range(100_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in pii.digests(rows).collect()}
+    assert time.time() - start < 60
+    assert got[1].n_email == got[1].n_phone == 100_000 and got[0].n_email == 0
+
+
+def test_long_addresses_and_other_kinds(spark):
+    name = "n" * 200
+    rows = spark.createDataFrame([(1, f"write to {name} [at] {name} [dot] org now"), (2, "login from host 2001:db8:85a3:1f:a2:8a2e:370:7334 ok"), (3, "server 10[.]1[.]2[.]3 is down"), (4, "visa 4111.1111.1111.1111 paid"), (5, "order 4111.1111.1111.1112 sent"), (6, "at 12:30:45 we met at 9:15"), (7, "ratio 16:9 and a::b")], "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.digests(rows).collect()}
+    assert got[1].startswith("email:9:") and got[2] == "ip:16:49" and got[3] == "ip:7:21" and got[4] == "card:5:24" and got[5] == got[6] == got[7] == ""
+
+
 def test_training_repeats(spark):
-    assert pii.train(spark) == pii.train(spark)
+    assert pii._fitted(spark, 0.995) == pii.train(spark)
