@@ -3,7 +3,8 @@
 A page becomes an array of parts in document order: texts, and references to media with their
 captions. Media lie in a store keyed by the digest of their payload; a join on the digest
 resolves references, whatever their number, and keeps position and caption beside the payload.
-The stored form is an 8-bit greyscale PNG of 64 samples a row.
+Only references go through the join; texts stay with their page until the sequence is put
+together. The stored form is an 8-bit greyscale PNG of 64 samples a row.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -98,7 +100,8 @@ def _arrow(fields: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``id_col`` and parts (array of PARTS) of each page; one row per input row."""
+    """``id_col`` and parts (array of PARTS) of each page; one row per input row. A null or empty
+    page has no parts; repeated rows and null ids stay; an empty table gives an empty result."""
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("key"), F.col(html_col).alias("html"))
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
@@ -159,8 +162,18 @@ def image_feature(payload: bytes) -> str:
     return f"mean={a.mean():.4f};std={a.std():.4f};levels=" + ",".join(f"{x:.4f}" for x in levels)
 
 
+def told(media: bytes | None) -> tuple:
+    """(payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of a stored
+    image, all null if there is none."""
+    if media is None:
+        return (None,) * 6
+    payload = read_image(media)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), image_feature(payload)
+
+
 def text_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, media): each distinct text's payload in its stored form."""
+    """(digest, media): each distinct text's payload in its stored form. A null text is empty and
+    its payload 64 zero bytes; an empty table gives an empty store."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -179,7 +192,9 @@ def text_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes and html: a page whose only medium is the text's payload."""
+    """``id_col``, n_bytes and html: a page of the text's lines, with a figure after the first half
+    of them whose medium is the text's payload. A null text is empty; repeated rows and null ids
+    stay; an empty table gives an empty result."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     fields = {"key": None, "n_bytes": pa.int64(), "html": pa.string()}
@@ -192,7 +207,10 @@ def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 for text in batch.column(1).to_pylist():
                     raw = (text or "").encode()
                     size.append(len(raw))
-                    html.append(f'<figure><img src="{SCHEME}{hashlib.sha256(padded(raw)).hexdigest()}" alt="text"><figcaption>text of {len(raw)} bytes</figcaption></figure>')
+                    own = [f"<p>{escape(x)}</p>" for x in (text or "").split("\n")]
+                    figure = f'<figure><img src="{SCHEME}{hashlib.sha256(padded(raw)).hexdigest()}" alt="text"><figcaption>text of {len(raw)} bytes</figcaption></figure>'
+                    half = -(-len(own) // 2)
+                    html.append("".join([*own[:half], figure, *own[half:]]))
                 yield _arrow(fields, [batch.column(0), size, html])
 
     return rows.mapInArrow(released(run), f"key {rows.schema['key'].dataType.simpleString()}, n_bytes bigint, html string").withColumnRenamed("key", id_col)
@@ -200,34 +218,53 @@ def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def resolved(parts: DataFrame, store: DataFrame) -> DataFrame:
     """``parts`` (one row per medium, with ref) with the column media of the store's row whose
-    digest the reference names; null where the store has none. The store is hashed by digest
-    once; many references to one digest are split by the engine's skew handling."""
+    digest the reference names; null where the store has none, the reference is null or of
+    another form. The store is hashed by digest once; many references to one digest are split by
+    the engine's skew handling."""
     keyed = parts.withColumn("digest", F.expr(f"if(startswith(ref, '{SCHEME}'), substring(ref, {len(SCHEME) + 1}), null)"))
     return keyed.join(store, "digest", "left")
 
 
+def assembled(found: DataFrame, store: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """``found`` (``id_col``, parts) with the payloads beside their references: ``id_col`` and parts,
+    in order, with a field media more, null for texts and for what the store doesn't hold. One
+    row per input row, repeated rows, null ids and pages without parts included."""
+    rows = found.select(F.col(id_col).alias("key"), "parts").withColumns({"r1": F.xxhash64("key", "parts"), "r2": F.xxhash64(F.lit(1), "parts", "key")})
+    media = rows.select("r1", "r2", F.explode("parts").alias("p")).where("p.kind <> 'text'").dropDuplicates(["r1", "r2", "p"]).select("r1", "r2", "p.*")
+    one = F.struct("position", "kind", "text", "ref", "caption", "media")
+    media = resolved(media, store).groupBy("r1", "r2").agg(F.collect_list(one).alias("media"))
+    texts = F.transform(F.filter("parts", lambda p: p["kind"] == "text"), lambda p: F.struct(*(p[c].alias(c) for c in ("position", "kind", "text", "ref", "caption")), F.lit(None).cast("binary").alias("media")))
+    whole = F.array_sort(F.concat(texts, F.coalesce("media", F.slice(texts, 1, 0))), lambda a, b: a["position"] - b["position"])
+    return rows.join(media, ["r1", "r2"], "left").select(F.col("key").alias(id_col), whole.alias("parts"))
+
+
+def page_digests(pages: DataFrame) -> DataFrame:
+    """page_id, n_parts, n_media and parts_sha256 of every page: of kind, text, reference and
+    caption, null as '', each followed by a line feed, part by part."""
+    told = F.transform("parts", lambda p: F.concat(*(x for c in ("kind", "text", "ref", "caption") for x in (F.coalesce(p[c], F.lit("")), F.lit("\n")))))
+    media = F.size(F.filter("parts", lambda p: p["kind"] != "text"))
+    return sequences(pages).select("page_id", F.size("parts").cast("bigint").alias("n_parts"), media.cast("bigint").alias("n_media"), F.sha2(F.array_join(told, ""), 256).alias("parts_sha256"))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """The query's columns, from the bytes that the join brings back, and position and caption.
+    """The query's columns, from the bytes that the join brings back, and position, caption and
+    the number of parts around them.
 
     A null text is empty and its payload 64 zero bytes. One row per input row, repeated rows
     and null ids included; an empty table gives an empty result.
     """
     pages = text_pages(docs)
     found = sequences(pages.select(F.struct("doc_id", "n_bytes").alias("page"), "html"), "page")
-    media = found.select("page.doc_id", "page.n_bytes", F.explode("parts").alias("p")).select("doc_id", "n_bytes", "p.position", "p.kind", "p.ref", "p.caption").where("kind <> 'text'")
-    rows = resolved(media, text_store(docs)).select("doc_id", "n_bytes", "position", "caption", "media")
-    fields = {"doc_id": None, "n_bytes": None, "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "position": None, "caption": None}
+    media = found.select("page.doc_id", "page.n_bytes", F.size("parts").alias("n_parts"), F.explode("parts").alias("p")).select("doc_id", "n_bytes", "n_parts", "p.position", "p.kind", "p.ref", "p.caption").where("kind <> 'text'")
+    rows = resolved(media, text_store(docs)).select("doc_id", "n_bytes", "position", "caption", "n_parts", "media")
+    fields = {"doc_id": None, "n_bytes": None, "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "position": None, "caption": None, "n_parts": None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                out = []
-                for media in batch.column(4).to_pylist():
-                    payload = read_image(media)
-                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), image_feature(payload)))
-                made = list(zip(*out)) if out else [[]] * 6
-                yield _arrow(fields, [batch.column(0), batch.column(1), *made, batch.column(2), batch.column(3)])
+                made = list(zip(*(told(m) for m in batch.column(5).to_pylist())))
+                yield _arrow(fields, [batch.column(0), batch.column(1), *made, *(batch.column(c) for c in (2, 3, 4))])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(released(run), f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, position int, caption string")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, position int, caption string, n_parts int")

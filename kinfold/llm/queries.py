@@ -40,6 +40,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of :func:`op6_media`'s operator over the web pages."""
+    return media.page_digests(table(spark, sf_dir, "pages"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_ann": op10_ann,
+    "page_sequences": page_sequences,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator.

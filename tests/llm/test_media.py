@@ -1,6 +1,8 @@
 import hashlib
+import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import pytest
 from hypothesis import given
@@ -38,10 +40,42 @@ def test_any_html_parses(html):
     assert [p["position"] for p in parts] == list(range(len(parts)))
 
 
+def shown(html):
+    """What of a page is text, by plain replacement: without blanks, as they part differently."""
+    body = re.sub(r"(?s)<(script|style|head)\b.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", "", html)
+    return re.sub(r"\s", "", unescape(re.sub(r"<[^>]*>", "", body)))
+
+
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = media.sequences(pages).collect()
-    assert Counter(r.page_id for r in got) == Counter(r.page_id for r in pages.collect()) and all(p.text for r in got for p in r.parts if p.kind == "text")
+    rows = pages.collect()
+    assert Counter(r.page_id for r in got) == Counter(r.page_id for r in rows) and all(p.text for r in got for p in r.parts if p.kind == "text")
+    texts = {r.page_id: re.sub(r"\s", "", "".join(p.text for p in r.parts if p.kind == "text")) for r in got}
+    assert texts == {r.page_id: shown(r.html) for r in rows}
+    want = {}
+    for r in rows:
+        parts = media.parse(r.html)
+        want[r.page_id] = (len(parts), sum(p["kind"] != "text" for p in parts), hashlib.sha256("".join(f"{p[c] or ''}\n" for p in parts for c in ("kind", "text", "ref", "caption")).encode()).hexdigest())
+    assert {r.page_id: (r.n_parts, r.n_media, r.parts_sha256) for r in media.page_digests(pages).collect()} == want
+
+
+def test_interleaved_pages(spark):
+    """Texts and media in turn, shared, unresolved and foreign references, repeated rows."""
+    texts = ["one", "two", "x" * 300]
+    refs = [media.SCHEME + hashlib.sha256(media.padded(t.encode())).hexdigest() for t in texts]
+    store = media.text_store(spark.createDataFrame([(t,) for t in texts], "text string"))
+    html = f'a<img src="{refs[0]}" alt="first">b<figure><img src="{refs[1]}"><figcaption>second</figcaption></figure><img src="{media.SCHEME}00"><img src="z.png">c<img src="{refs[0]}">'
+    pages = spark.createDataFrame([(1, html), (1, html), (None, html), (2, f'<img src="{refs[2]}">'), (3, "only text"), (4, None)], "page_id bigint, html string")
+    got = media.assembled(media.sequences(pages), store).collect()
+    assert Counter(r.page_id for r in got) == Counter([1, 1, None, 2, 3, 4])
+    payload = {t: media.store_image(media.padded(t.encode())) for t in texts}
+    want = [("a", None, None), (None, "first", payload["one"]), ("b", None, None), (None, "second", payload["two"]), (None, None, None), (None, None, None), ("c", None, None), (None, None, payload["one"])]
+    for r in got:
+        assert [p.position for p in r.parts] == list(range(len(r.parts)))
+        told = [(p.text, p.caption, None if p.media is None else bytes(p.media)) for p in r.parts]
+        assert told == (want if r.page_id in (1, None) else {2: [(None, None, payload[texts[2]])], 3: [("only text", None, None)], 4: []}[r.page_id])
+    assert media.told(None) == (None,) * 6
 
 
 def test_digests(spark, small):
@@ -57,4 +91,8 @@ def test_digests(spark, small):
     same = {}
     for r in rows:
         assert same.setdefault(r.payload_sha256, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
-        assert r.caption == f"text of {r.n_bytes} bytes" and r.position == 0
+        assert r.caption == f"text of {r.n_bytes} bytes"
+    for r, text in [(r, t) for r in rows for i, t in [(x.doc_id, x.text) for x in odd.collect()] if r.doc_id == i and i and i >= 9_000]:
+        assert (r.position, r.n_parts) == (1, 2), text
+    lined = media.digests(spark.createDataFrame([(1, "a\n\nb <i>\nc &amp; d\ne")], "doc_id bigint, text string")).first()
+    assert (lined.position, lined.n_parts) == (2, 5)
