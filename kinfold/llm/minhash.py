@@ -8,10 +8,13 @@ says. Registers in bands of four make the keys that similar sets share.
 
 Within a key's documents no pairs are listed: all are compared with two of them, its hubs. What
 the links found so far join needs no further comparison. Documents around a hub that are still
-apart are compared with each other: as pairs around a few, in blocks around many, where those
-outside the largest component meet all others and only links come out. Pairs pass an estimate
-from the registers, corrected for chance collisions, and then count on the full sets, as do
-blocks.
+apart are compared with each other: around a few hubs' documents as pairs; around many by the
+rarest members of their sets. Of two similar sets, members ordered by how rare they are, the
+smaller has one of the common members among its first ninth and the larger among its first fifth,
+so only documents that share such a member meet, and what is common to a whole group of documents
+brings none of them together. Pairs pass an estimate from the registers, corrected for chance
+collisions, and then count on the full sets. A member shared by very many is worked off in blocks
+of sets, of which only links come out; blocks use the same estimate.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, released, ship
+from .common import BROADCAST_ROWS, counted, cut, released, ship
 from .components import components
 
 BUCKETS = 128
@@ -37,10 +40,14 @@ MANTISSA_BITS = 10
 MARGIN = 0.22
 #: Hubs that a document is verified against before components are known.
 HUBS = 2
-#: Documents around a hub up to which pairs are listed; more are compared in blocks.
+#: Documents around a hub up to which pairs are listed; more meet by the rare members of their sets.
 PAIRED = 32
-#: Documents of a block.
-BLOCK = 1_000
+#: Pairs that one shared member may bring together one by one; more are compared in blocks.
+LISTED = 4_096
+#: Bytes of the sets of a block.
+BLOCK = 4_000_000
+#: Counters of how often members occur, whatever the number of sets.
+SLOT_BITS = 18
 #: Word hashes that a Python worker remembers.
 CACHED_WORDS = 250_000
 
@@ -213,41 +220,96 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 def block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links (u, v) between the documents (id, c, s) of two blocks in different components c, one
     for each document on the left and component on the right. Hashes get small numbers, and a
-    document is compared with a whole block by one pass over the block's numbers."""
+    document is compared with a whole block by one pass over the block's numbers, if the
+    estimate from their registers allows any link."""
     lengths = right["s"].map(len).to_numpy() // 8
     dense, numbers = np.unique(np.frombuffer(b"".join(right["s"]), np.uint64), return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     ids, owner = right["id"].to_numpy(), right["c"].to_numpy()
+    sketch = np.array([registers(np.frombuffer(s, np.uint64)) for s in right["s"]])
     flag = np.zeros(len(dense), np.int32)
     out_u, out_v = [], []
     for u, c, s in zip(left["id"], left["c"], left["s"], strict=True):
         x = np.frombuffer(s, np.uint64)
+        likely = owner != c
+        likely[likely] = estimate(sketch[likely], registers(x)[None], np.full(likely.sum(), len(x), float), lengths[likely].astype(float)) >= percent / 100 - MARGIN
+        if not likely.any():
+            continue
         at = np.searchsorted(dense, x)
         at[at == len(dense)] = 0
         at = at[dense[at] == x]
         flag[at] = 1
         common = np.add.reduceat(flag[numbers], starts).astype(np.int64)
         flag[at] = 0
-        hit = np.flatnonzero((owner != c) & (common > 0) & (100 * common >= percent * (len(x) + lengths - common)))
+        hit = np.flatnonzero(likely & (common > 0) & (100 * common >= percent * (len(x) + lengths - common)))
         _, first = np.unique(owner[hit], return_index=True)
         out_u += [u] * len(first)
         out_v += ids[hit[first]].tolist()
     return pd.DataFrame({"u": np.array(out_u, np.int64), "v": np.array(out_v, np.int64)})
 
 
-def _crowded(groups: DataFrame, sized: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Links across components within large groups (one, id, c): the documents outside a group's
-    largest component against all of it, in blocks. sized: one, big, nu and nm blocks."""
-    rows = groups.join(sized, "one").join(held.withColumnRenamed("key", "id"), "id")
+def _frequencies(rows: DataFrame) -> np.ndarray:
+    """How common the members of each slot are among the sets s, as a coarse logarithm. The slots
+    are a fixed number, and members that share one only lose some of their order."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for s in batch.column(0):
+                np.add.at(total, (np.frombuffer(s.as_buffer(), np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
+
+    got = rows.select("s").mapInArrow(released(count), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    out[got["slot"].to_numpy()] = np.minimum(255, np.log2(got["n"].to_numpy()) * 6 + 1)
+    return out
+
+
+def rare(s: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """(members, early): the first members of a set, from rare to common, one of which any set
+    similar to it has, too; the first ``early`` of them if that set is no smaller."""
+    n = len(s)
+    order = np.lexsort((s, common[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+    return s[order[: n + 1 - -(-percent * n // 100)]], n + 1 - -(-2 * percent * n // (100 + percent))
+
+
+def _crowded(members: DataFrame, held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, links) across the components c of documents (id, c): pairs (a, b) still to be
+    verified, from members that few share, and links (u, v) from members that many share."""
+    rows = cut(members.join(held.withColumnRenamed("key", "id"), "id").select("id", "c", "s"), 10_000)
+    common = _frequencies(rows)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _columns(whole, 500):
+                out = []
+                for n, s in enumerate(batch.column(2)):
+                    full = np.frombuffer(s.as_buffer(), np.uint64)
+                    head, early = rare(full, common, percent)
+                    place = np.arange(len(head))
+                    out.append((head.view(np.int64), np.full(len(head), n), np.full(len(head), len(full)), place, place < early))
+                h, row, size, place, early = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size), pa.array(place), pa.array(early)], ["h", "id", "c", "n", "place", "early"])
+
+    listed = cut(rows.mapInArrow(released(firsts), "h bigint, id bigint, c bigint, n bigint, place bigint, early boolean"))
+    lists = listed.groupBy("h").agg(F.count("*").alias("m"), F.count_if("early").alias("e"), F.sum("n").alias("size"), F.sum(F.expr("if(early, n, 0)")).alias("esize"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    lists = cut(lists.where("lo <> hi and e > 0"))
+    some = listed.join(lists.where(f"m * e <= {LISTED}").select("h"), "h", "left_semi")
+    x, y = some.where("early").alias("x"), some.alias("y")
+    meet = f"x.h = y.h and x.c <> y.c and x.n <= y.n and {percent} * y.n <= 100 * x.n and {100 + percent} * least(x.n - x.place, y.n - y.place) >= {percent} * (x.n + y.n)"
+    pairs = x.join(y, F.expr(meet)).selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
+    blocks = lists.where(f"m * e > {LISTED}").selectExpr("h", f"cast(ceil(8 * esize / {BLOCK}D) as int) as nu", f"cast(ceil(8 * size / {BLOCK}D) as int) as nm")
+    many = listed.select("h", "id", "c", "early").join(blocks, "h").join(rows.select("id", "s"), "id")
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    left = rows.where("c <> big").select("one", "id", "c", "s", F.expr("cast(pmod(xxhash64(id), nu) as int)").alias("bu"), spread("nm").alias("bm"))
-    right = rows.select("one", "id", "c", "s", F.expr("cast(pmod(xxhash64(id, 1), nm) as int)").alias("bm"), spread("nu").alias("bu"))
+    left = many.where("early").select("h", "id", "c", "s", F.expr("cast(pmod(xxhash64(id), nu) as int)").alias("bu"), spread("nm").alias("bm"))
+    right = many.select("h", "id", "c", "s", F.expr("cast(pmod(xxhash64(id, 1), nm) as int)").alias("bm"), spread("nu").alias("bu"))
     right = right.toDF(*right.columns)  # columns of its own, apart from the left's
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return block_links(a, b, percent) if len(a) and len(b) else pd.DataFrame({"u": np.array([], np.int64), "v": np.array([], np.int64)})
 
-    return left.groupBy("one", "bu", "bm").cogroup(right.groupBy("one", "bu", "bm")).applyInPandas(run, "u bigint, v bigint")
+    return pairs, left.groupBy("h", "bu", "bm").cogroup(right.groupBy("h", "bu", "bm")).applyInPandas(run, "u bigint, v bigint")
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,17 +350,20 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     groups = cut(placed.join(open_keys, "key", "left_semi").select("one", "id", "c").distinct())
     parts = groups.groupBy("one", "c").agg(F.count("*").alias("n"))
-    sized = parts.groupBy("one").agg(F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("big"))
-    sized = sized.selectExpr("one", "m", "big.c as big", f"cast(ceil((m - big.n) / {BLOCK}D) as int) as nu", f"cast(ceil(m / {BLOCK}D) as int) as nm")
-    sized = cut(sized.where("nu > 0"))
+    sized = cut(parts.groupBy("one").agg(F.sum("n").alias("m"), F.count("*").alias("parts")).where("parts > 1"))
     few, many = sized.where(f"m <= {PAIRED}"), sized.where(f"m > {PAIRED}")
     loose = groups.join(few, "one", "left_semi")
     others = loose.alias("x").join(loose.alias("y"), F.expr("x.one = y.one and x.c < y.c")).selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
     others = cut(_likely(others.join(best, ["a", "b"], "left_anti"), classes, percent / 100).select("a", "b"))
-    crowd = groups.join(many, "one", "left_semi")
+    crowd, crowds = counted(groups.join(many, "one", "left_semi").select("id", "c").distinct())
     asked = cut(others.selectExpr("explode(array(a, b)) as key").union(crowd.select("id")).distinct())
     held = _sets(asked, classes, docs, words, id_col, text_col)
-    more = _verified(others, held, percent).union(_crowded(crowd, many, held, percent))
+    more = None
+    if crowds:
+        pairs, more = _crowded(crowd, held, percent)
+        others = cut(_likely(pairs.join(best, ["a", "b"], "left_anti"), classes, percent / 100).select("a", "b").union(others).distinct())
+    verified = _verified(others, held, percent)
+    more = verified.union(more) if more else verified
     members = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = components(cut(more.union(members)))
     named = cut(classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "doc_id", label.alias("part")))

@@ -58,9 +58,13 @@ def test_small_table(spark, small, words):
     check(spark, docs, words)
 
 
-def test_crowded_group(spark, monkeypatch):
-    """Near copies around one text, most linked to it, some only to each other or to none."""
-    monkeypatch.setattr(minhash, "BLOCK", 40)
+@pytest.mark.parametrize("listed,block", [(1, 16_000), (10**9, 4_000_000), (200, 4_000_000)])
+def test_crowded_group(spark, monkeypatch, listed, block):
+    """Near copies around one text, most linked to it, some only to each other or to none; pairs
+    from rare members, from blocks, and from both."""
+    monkeypatch.setattr(minhash, "PAIRED", 4)
+    monkeypatch.setattr(minhash, "LISTED", listed)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     r = random.Random(5)
     base = [f"w{k}" for k in range(90)]
     texts = {0: " ".join(base)}
@@ -72,6 +76,35 @@ def test_crowded_group(spark, monkeypatch):
     check(spark, texts, 2)
 
 
+def test_rare_members_meet():
+    """Two similar sets share a member among the first of both, whatever the order."""
+    r = np.random.default_rng(3)
+    common = r.integers(0, 5, 1 << minhash.SLOT_BITS).astype(np.uint8)
+    met = 0
+    for _ in range(400):
+        both, own = r.integers(0, 1 << 63, r.integers(1, 60), dtype=np.uint64), r.integers(0, 5, 2)
+        x, y = (np.unique(np.concatenate([both, r.integers(0, 1 << 63, int(n), dtype=np.uint64)])) for n in own)
+        x, y = sorted((x, y), key=len)
+        same = len(np.intersect1d(x, y))
+        if 100 * same >= 80 * (len(x) + len(y) - same):
+            met += 1
+            (a, early), (b, _) = minhash.rare(x, common, 80), minhash.rare(y, common, 80)
+            assert np.intersect1d(a[:early], b).size
+    assert met > 100
+
+
+def test_template_brings_no_pairs(spark, monkeypatch):
+    """Pages of one template, too unlike to link: their rare members are their own, so few meet."""
+    base = " ".join(f"t{k}" for k in range(60))
+    texts = {k: f"{base} " + " ".join(f"u{k}x{j}" for j in range(25)) for k in range(150)}
+    texts |= {1_000 + k: texts[k] + " end" for k in range(10)}
+    seen = []
+    held = minhash._crowded
+    monkeypatch.setattr(minhash, "_crowded", lambda *a: seen.append((out := held(*a))[0].count()) or out)
+    check(spark, texts, 2)
+    assert seen and seen[0] < 200  # of 12,720
+
+
 def test_small_sets(spark):
     r = random.Random(6)
     texts = {k: " ".join(r.choice("abcdefgh") for _ in range(r.randrange(0, 9))) for k in range(200)}
