@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,7 +42,9 @@ WIDE = LENGTH - GRAM + 1
 CHUNK = 1 << 18
 PLACE_BITS = 22
 #: Bytes of runs in a block that is sorted at once.
-BLOCK = 1_000_000
+BLOCK = 500_000
+#: Bytes of texts or runs that a task turns into Python objects at once, and rows.
+HELD, ROWS = 2_000_000, 500
 #: Runs of a bucket beyond which it is split, and the widths in windows of the parts.
 CROWD = 4_000
 WIDTHS = (19, 4, 1)
@@ -180,11 +183,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts (key, text) to rows: the runs, those seen once and those seen more often."""
     for batch in batches:
         keys, texts = batch.column(0).to_numpy(), batch.column(1)
-        found = []
-        for k in range(0, batch.num_rows, 500):
-            raw = [(k + n, t.encode()) for n, t in enumerate(texts.slice(k, 500).to_pylist())]
+        found, k = [], 0
+        for part in _slices(batch, 1):
+            raw = [(k + n, t.encode()) for n, t in enumerate(part.column(1).to_pylist())]
             raw = [(n, t) for n, t in raw if len(t) >= LENGTH]
             found.append(_all_runs([n for n, _ in raw], [t for _, t in raw]))
+            k += part.num_rows
         if not found:
             continue
         row, anchor, digest, first, count, offset = (np.concatenate(c) for c in zip(*found))
@@ -247,20 +251,41 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle([np.concatenate(c) for c in zip(*held)])
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ROWS rows and about HELD bytes of a text or binary column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(total, (total[at - 1] if at else 0) + HELD))
+        n = min(max(1, fits - at), ROWS)
+        yield batch.slice(at, n)
+        at += n
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(packed piece, asked, start) to (anchor, key, at, kind, body): the bytes of the runs asked for."""
     open_ = zstandard.ZstdDecompressor()
     for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            part = batch.slice(k, 200)
-            out: list[tuple] = []
-            for packed, asked, start in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                raw = open_.decompress(packed)
-                for x in asked:
-                    first, count = (x["at"] >> 16) - start, x["at"] >> 8 & 255
-                    out.append((x["anchor"], x["key"], x["at"], x["kind"], raw[first : first + count + LENGTH - 1]))
-            made = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, _BODY.values(), strict=True)], list(_BODY))
+        packed, asked, start = batch.columns
+        parts, bodies, size = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            rows = pa.concat_arrays(parts)
+            return pa.RecordBatch.from_arrays([*(rows.field(k) for k in ("anchor", "key", "at", "kind")), pa.array(bodies, pa.binary())], list(_BODY))
+
+        for k in range(batch.num_rows):
+            raw, own = open_.decompress(packed[k].as_py()), asked[k].values
+            at = own.field("at").to_numpy()
+            first = (at >> 16) - start[k].as_py()
+            end = first + (at >> 8 & 255) + LENGTH - 1
+            bodies += [raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+            parts.append(own)
+            size += int((end - first).sum())
+            if size > HELD:
+                yield made()
+                parts, bodies, size = [], [], 0
+        if parts:
+            yield made()
 
 
 _BODY = {"anchor": pa.int64(), "key": pa.int64(), "at": pa.int64(), "kind": pa.int8(), "body": pa.binary()}
@@ -302,8 +327,8 @@ def split(rows: list[tuple], width: int) -> list[tuple]:
 def _split(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 4_000):
-                batch = whole.slice(k, 4_000)
+            for k in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(k, 2_000)
                 made = list(zip(*split(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), width)))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, _BODY.values(), strict=True)], list(_BODY))
@@ -378,9 +403,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     bodies: list[bytes] = []
     size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for whole in batches for part in _slices(whole, 4)):
         held.append(tuple(batch.column(k).to_numpy() for k in range(4)))
         bodies += batch.column(4).to_pylist()
         size += sum(map(len, bodies[-batch.num_rows :]))
@@ -407,8 +430,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tight = zstandard.ZstdCompressor(level=3)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for batch in _slices(whole, 2):
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([tight.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "key", "packed"])
 
     return rows.select("doc_id", "key", "text").mapInArrow(released(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, packed binary")
@@ -420,8 +442,7 @@ def _pieced(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tight = zstandard.ZstdCompressor(level=3)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for batch in _slices(whole, 1):
                 made = [(key, start // CHUNK, tight.compress(raw)) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for key, start, raw in _pieces(n, t.encode())]
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "piece", "packed"])
@@ -497,8 +518,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for batch in _slices(whole, 1):
                 out = []
                 for packed, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     raw = open_.decompress(packed)
