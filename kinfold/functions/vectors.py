@@ -6,8 +6,9 @@ components:array<struct<index:bigint,value:double>>>.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType, StructType
 
 from . import gauss
 
@@ -81,12 +82,6 @@ def sparse_norm(s: Column) -> Column:
     return F.sqrt(F.aggregate(s["components"], F.lit(0.0), lambda t, c: t + c["value"] * c["value"]))
 
 
-def _lookup(s: Column) -> Column:
-    """Index to value. Entries of value 0 add nothing; of one index the first counts."""
-    entries = F.filter(s["components"], lambda c: c["value"] != 0)
-    return F.map_from_entries(F.filter(entries, lambda c: c == F.get(F.filter(entries, lambda d: d["index"] == c["index"]), F.lit(0))))
-
-
 def sparse_dot(a: Column, b: Column) -> Column:
     """Of sparse vectors with ascending indexes; an empty one gives 0."""
     other = F.map_from_entries(F.filter(b["components"], lambda c: c["value"] != 0))
@@ -104,6 +99,30 @@ def sparse_cosine(a: Column, b: Column) -> Column:
     return _cosine(sparse_dot(a, b), sparse_norm(a) * sparse_norm(b))
 
 
+def _kind(rows: DataFrame, name: str) -> str:
+    kind = rows.schema[name].dataType
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, NumericType):
+        return "dense"
+    if isinstance(kind, StructType) and kind.fieldNames() == ["dimension", "components"]:
+        return "sparse"
+    raise TypeError(f"{name} is no vector: {kind.simpleString()}")
+
+
+def dot_of(rows: DataFrame, a: str, b: str) -> Column:
+    """The inner product of two columns of ``rows``, dense or sparse each; others raise TypeError."""
+    kinds = _kind(rows, a), _kind(rows, b)
+    x, y = (dense(F.col(c)) if k == "dense" else F.col(c) for c, k in zip((a, b), kinds, strict=True))
+    if kinds[0] == kinds[1]:
+        return dot(x, y) if kinds[0] == "dense" else sparse_dot(x, y)
+    return mixed_dot(x, y) if kinds[0] == "dense" else mixed_dot(y, x)
+
+
+def cosine_of(rows: DataFrame, a: str, b: str) -> Column:
+    """The cosine of two columns of ``rows``, dense or sparse each; NaN if one is zero."""
+    size = lambda c: norm(dense(F.col(c))) if _kind(rows, c) == "dense" else sparse_norm(F.col(c))
+    return _cosine(dot_of(rows, a, b), size(a) * size(b))
+
+
 def random(size: int, seed: str = gauss.SEED, start: int = 0) -> Column:
     """A quantised normal vector: the components from ``start`` on."""
     return F.transform(F.sequence(F.lit(start), F.lit(start + size - 1)), lambda i: gauss.quantised(i, seed))

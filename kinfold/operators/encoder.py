@@ -5,22 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lineage import cut
-
-
-def _numbered(counts: DataFrame) -> DataFrame:
-    """``counts`` with term_id in place of first: the place within the field by first appearance.
-
-    All fields are sorted together over ranges, so no field is sorted in one task; a term's number
-    is its place in its range plus what the ranges before hold of the field.
-    """
-    order = ["field_pos", "first", "term"]
-    rows = cut(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
-    rows = rows.withColumn("part", F.shiftright("at", 33))
-    starts = rows.groupBy("field_pos", "part").agg(F.min("at").alias("low"), F.count("*").alias("n"))
-    starts = starts.withColumn("before", F.expr("coalesce(sum(n) over (partition by field_pos order by part rows between unbounded preceding and 1 preceding), 0)"))
-    placed = rows.join(starts.drop("n"), ["field_pos", "part"])
-    return placed.withColumn("term_id", (F.col("at") - F.col("low") + F.col("before")).cast("bigint")).select("field_pos", "term", "cnt", "term_id")
+from .lineage import before
 
 
 def counted(rows: DataFrame, seq_col: str = "seq", fields_col: str = "fields") -> DataFrame:
@@ -28,7 +13,7 @@ def counted(rows: DataFrame, seq_col: str = "seq", fields_col: str = "fields") -
     Empty and null values are not counted."""
     cells = rows.select(F.col(seq_col).alias("seq"), F.posexplode(fields_col).alias("field_pos", "term")).where("term <> ''")
     counts = cells.groupBy("field_pos", "term").agg(F.count("*").alias("cnt"), F.min("seq").alias("first"))
-    numbered = _numbered(counts)
+    numbered = before(counts, "field_pos", ["first", "term"]).selectExpr("field_pos", "term", "cnt", "before as term_id")
     sums = counts.groupBy("field_pos").agg(F.sum("cnt").alias("record_count"), F.count("*").alias("dim"))
     return numbered.join(F.broadcast(sums), "field_pos")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def chunks(signed: DataFrame) -> DataFrame:
     """(id, chunk_idx, chunk_val) of signed rows; a row without a signature has none.
@@ -31,17 +33,19 @@ def latest(records: DataFrame, version: str = "version") -> DataFrame:
     return best.select("id", *(f"r.{c}" for c in others))
 
 
-def match(probes: DataFrame, stored: DataFrame, records: DataFrame | None = None, how: str = "inner", min_matches: int = 1, limit: int | None = None) -> DataFrame:
+def match(probes: DataFrame, stored: DataFrame, records: DataFrame | None = None, how: str = "inner", min_matches: int = 1, limit: int | None = None, unique: bool = False) -> DataFrame:
     """(query_id, id, attributes, matches): every id that shares a chunk with a probe, and how
     many it shares.
 
     ``probes`` are signed rows (id, signature), ``stored`` postings. ``how`` is what happens to
     ids without a record: 'inner' drops them, 'left' leaves their attributes null. ``limit`` is
-    per probe. Chunks shared by very many ids are split by the engine's skew handling; whether a
-    side is broadcast is left to its size.
+    per probe. With ``unique`` a posting that is stored several times counts once; only those that
+    match a probe are compared for that. Chunks shared by very many ids are split by the engine's
+    skew handling; whether a side is broadcast is left to its size.
     """
     asked = chunks(probes).withColumnRenamed("id", "query_id")
-    found = asked.join(stored, ["chunk_idx", "chunk_val"]).groupBy("query_id", "id").agg(F.count("*").alias("matches"))
+    found = asked.join(stored, ["chunk_idx", "chunk_val"]).select("query_id", "chunk_idx", "id")
+    found = (found.distinct() if unique else found).groupBy("query_id", "id").agg(F.count("*").alias("matches"))
     if min_matches > 1:
         found = found.where(F.col("matches") >= min_matches)
     if limit:
@@ -70,20 +74,31 @@ class Index:
         good = signed.where("sign_error is null").select("id")
         records.join(good, "id", "left_semi").withColumn("version", F.lit(version).cast("bigint")).write.mode("append").parquet(f"{self.path}/records")
         rows = postings(signed.where("sign_error is null"), self.mode)
+        rows = rows.repartitionByRange("chunk_idx", "chunk_val").sortWithinPartitions("chunk_idx", "chunk_val")
         rows.write.mode("append").partitionBy("chunk_idx").parquet(f"{self.path}/postings")
 
+    def stored(self) -> DataFrame:
+        """The postings as they were written: sorted by chunk value, some of them several times."""
+        return self.spark.read.parquet(f"{self.path}/postings").select(F.col("chunk_idx").cast("int"), "chunk_val", "id")
+
     def postings(self) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/postings").select(F.col("chunk_idx").cast("int"), "chunk_val", "id")
-        return rows.distinct() if self.mode == "set" else rows
+        return self.stored().distinct() if self.mode == "set" else self.stored()
 
-    def records(self) -> DataFrame:
-        return latest(self.spark.read.parquet(f"{self.path}/records"))
+    def records(self, ids: DataFrame | None = None) -> DataFrame:
+        """The latest version of every record, or of those whose id is among ``ids``."""
+        rows = self.spark.read.parquet(f"{self.path}/records")
+        return latest(rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi"))
 
     def query(self, probes: DataFrame, **options) -> DataFrame:
-        """Matches of signed probes, best first. A 'multiset' index keeps ids without a record."""
+        """Matches of signed probes, best first. A 'multiset' index keeps ids without a record. Of
+        the index only what matches is compared: postings meet the probes before they are made
+        unique, and of the records only those of matched ids are brought to their latest version."""
         how = "left" if self.mode == "multiset" else "inner"
-        return ranked(match(probes, self.postings(), self.records(), how, **options))
+        found = cut(match(probes, self.stored(), unique=self.mode == "set", **options))
+        records = self.records(found)
+        attrs = [c for c in records.columns if c != "id"]
+        return ranked(found.join(records, "id", how).select("query_id", "id", *attrs, "matches"))
 
     def fetch(self, ids: DataFrame) -> DataFrame:
         """The records of some ids; ids without one are left out."""
-        return ids.select("id").distinct().join(self.records(), "id")
+        return self.records(ids)

@@ -1,8 +1,10 @@
 """Signatures: signed random projections of a record's weighted terms, cut into chunks.
 
 A field's hyperplanes have one component per known term, so the planes are made once per term
-and not once per occurrence. A record's sums add its terms' components times weights, term by
-term and then field by field; a bit is set if the sum is not below zero.
+and not once per occurrence, while they can be broadcast; beyond that a record's components are
+made where its terms meet, as shipping a plane per occurrence would cost more than making it. A
+record's sums add its terms' components times weights, term by term and then field by field; a
+bit is set if the sum is not below zero.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import gauss
 
-from .lineage import cut
-from .vocabulary import Vocabulary, field_terms, placed
+from .lineage import before, cut
+from .vocabulary import Vocabulary, field_terms
 
 #: Sums this little below zero count as zero; they are rounding noise of equal weights.
 SLACK = 1e-9
@@ -23,12 +25,17 @@ BROADCAST_TERMS = 200_000
 BROADCAST_BYTES = 32_000_000
 
 
-def planes(vocabulary: Vocabulary, seed: str = gauss.SEED) -> DataFrame:
+def quantised(index: Column, seed) -> Column:
+    """The quantised component at an index, of a seed or of a provider of numbers by index."""
+    return gauss.quantised(index, seed) if isinstance(seed, str) else gauss.compact(seed.get(index))
+
+
+def planes(vocabulary: Vocabulary, seed=gauss.SEED) -> DataFrame:
     """(field_idx, term_idx, q): per known term the quantised component of every hyperplane."""
     count = vocabulary.schema.hash_count
     rows = vocabulary.table.join(F.broadcast(vocabulary.fields.select("field_idx", "field_offset")), "field_idx")
     index = lambda i: F.col("field_offset") + i * F.col("dim") + F.col("term_idx")
-    return rows.select("field_idx", "term_idx", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: gauss.quantised(index(i.cast("bigint")), seed)).alias("q"))
+    return rows.select("field_idx", "term_idx", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: quantised(index(i.cast("bigint")), seed)).alias("q"))
 
 
 def weighted_terms(records: DataFrame, vocabulary: Vocabulary, oov: str = "reference", id_col: str = "id") -> DataFrame:
@@ -47,7 +54,7 @@ def weighted_terms(records: DataFrame, vocabulary: Vocabulary, oov: str = "refer
         return terms.join(F.broadcast(known) if count <= BROADCAST_TERMS else known, ["field_idx", "term"], "left")
     unknown = field_terms(records, vocabulary.schema, id_col).select("field_idx", "term").distinct().join(known, ["field_idx", "term"], "left_anti")
     both = known.select("field_idx", "term", F.lit(1).alias("known")).unionByName(unknown.select("field_idx", "term", F.lit(0).alias("known")))
-    next_ = placed(both, "known").where("known = 0").join(F.broadcast(vocabulary.fields.select("field_idx", "dim")), "field_idx")
+    next_ = before(both, "field_idx", ["term"], "known").where("known = 0").join(F.broadcast(vocabulary.fields.select("field_idx", "dim")), "field_idx")
     guessed = next_.select("field_idx", "term", F.when(F.col("before") < F.col("dim"), F.col("before")).alias("term_idx"), F.lit(float("inf")).alias("weight"))
     guessed = cut(guessed)
     every = known.unionByName(guessed)
@@ -63,24 +70,33 @@ def _field_sums(k: int, zero: Column) -> Column:
     return F.aggregate(own, zero, lambda s, p: F.zip_with(s, p["q"], lambda x, q: x + p["weight"] * gauss.uncompact(q)))
 
 
-def sums(records: DataFrame, vocabulary: Vocabulary, seed: str = gauss.SEED, oov: str = "reference", id_col: str = "id") -> DataFrame:
+def _made_sums(k: int, zero: Column, seed) -> Column:
+    """The same from parts with the term's place in the first plane and the field's terms."""
+    own = F.filter("parts", lambda p: (p["field_idx"] == k) & p["first"].isNotNull())
+    at = lambda p, i: p["first"] + i.cast("bigint") * p["dim"]
+    return F.aggregate(own, zero, lambda s, p: F.transform(s, lambda x, i: x + p["weight"] * gauss.uncompact(quantised(at(p, i), seed))))
+
+
+def sums(records: DataFrame, vocabulary: Vocabulary, seed=gauss.SEED, oov: str = "reference", id_col: str = "id") -> DataFrame:
     """(id, sums, sign_error): the projection on every hyperplane; an error for records with a
     term that sorts after all known ones. One row per id.
 
-    While the planes are broadcast, only the terms' numbers and weights are shuffled to their
-    record; the planes join them there."""
+    Only the terms' numbers and weights are shuffled to their record; planes that can be broadcast
+    join them there, others are made there."""
     schema = vocabulary.schema
     terms = weighted_terms(records, vocabulary, oov, id_col)
-    made = planes(vocabulary, seed)
-    if vocabulary.counts.count() * schema.hash_count * 4 <= BROADCAST_BYTES:
-        terms, made = terms.repartition("id"), F.broadcast(made)
-    rows = terms.join(made, ["field_idx", "term_idx"], "left")
-    part = F.struct("field_idx", "pos", "weight", "q")
+    shipped = vocabulary.counts.count() * schema.hash_count * 4 <= BROADCAST_BYTES
+    if shipped:
+        rows = terms.repartition("id").join(F.broadcast(planes(vocabulary, seed)), ["field_idx", "term_idx"], "left")
+        part = F.struct("field_idx", "pos", "weight", "q")
+    else:
+        rows = terms.join(F.broadcast(vocabulary.fields.select("field_idx", "field_offset", "dim")), "field_idx", "left")
+        part = F.struct("field_idx", "pos", "weight", (F.col("field_offset") + F.col("term_idx")).alias("first"), "dim")
     gathered = rows.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(F.col("term").isNotNull() & F.col("term_idx").isNull()).alias("failed"))
     zero = F.array_repeat(F.lit(0.0), schema.hash_count)
     total = zero
     for k in range(len(schema.fields)):
-        total = _added(total, _field_sums(k, zero))
+        total = _added(total, _field_sums(k, zero) if shipped else _made_sums(k, zero, seed))
     error = F.when(F.col("failed") & F.lit(oov == "reference"), F.lit("a term sorts after all that are known"))
     return gathered.select("id", total.alias("sums"), error.alias("sign_error"))
 
@@ -97,8 +113,9 @@ def packed(sums_: Column, hash_count: int, width: int, slack: float = SLACK) ->
     return F.transform(chunks, lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0).cast("bigint"), lambda a, j: a.bitwiseOR(bit(c, j))))
 
 
-def sign(records: DataFrame, vocabulary: Vocabulary, seed: str = gauss.SEED, oov: str = "reference", id_col: str = "id", slack: float = SLACK) -> DataFrame:
-    """(id, signature array<bigint>, sign_error) of every id; no signature where there is an error."""
+def sign(records: DataFrame, vocabulary: Vocabulary, seed=gauss.SEED, oov: str = "reference", id_col: str = "id", slack: float = SLACK) -> DataFrame:
+    """(id, signature array<bigint>, sign_error) of every id; no signature where there is an error.
+    ``seed`` is a text, or a provider whose ``get`` gives a number for an index."""
     schema = vocabulary.schema
     rows = sums(records, vocabulary, seed, oov, id_col)
     chunks = packed(F.col("sums"), schema.hash_count, schema.width, slack)

@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import transforms
 from kinfold.plans.definitions import SchemaDef
 
-from .lineage import cut
-
-#: Leading characters of a term by which a field's vocabulary is cut into sortable parts.
-PREFIX = 3
+from .lineage import before, cut
 
 
 def field_terms(records: DataFrame, schema: SchemaDef, id_col: str = "id", outer: bool = False) -> DataFrame:
@@ -27,21 +24,6 @@ def field_terms(records: DataFrame, schema: SchemaDef, id_col: str = "id", outer
     return per_field.select("id", "field_idx", explode("terms").alias("pos", "term"))
 
 
-def placed(terms: DataFrame, known: str) -> DataFrame:
-    """``terms`` (field_idx, term, and a column ``known`` of 0 and 1) with ``before``: how many
-    known terms of the field sort before the term.
-
-    Terms sort by their bytes. A field is not sorted in one task: known terms are counted per
-    prefix, the few prefixes are added up, and only terms of one prefix are sorted together.
-    """
-    rows = terms.withColumn("prefix", F.substring("term", 1, PREFIX))
-    counts = rows.groupBy("field_idx", "prefix").agg(F.sum(known).alias("own"))
-    starts = counts.withColumn("start", F.expr("coalesce(sum(own) over (partition by field_idx order by prefix rows between unbounded preceding and 1 preceding), 0)")).drop("own")
-    within = F.expr(f"coalesce(sum({known}) over (partition by field_idx, prefix order by term rows between unbounded preceding and 1 preceding), 0)")
-    ranked = rows.withColumn("within", within)
-    return ranked.join(starts, ["field_idx", "prefix"]).withColumn("before", (F.col("start") + F.col("within")).cast("bigint")).drop("prefix", "start", "within")
-
-
 class Vocabulary:
     """A schema with its learnt counts (field_idx, term, cnt); all else is derived."""
 
@@ -61,8 +43,9 @@ class Vocabulary:
 
     @cached_property
     def table(self) -> DataFrame:
-        """(field_idx, term, cnt, term_idx, total, dim, weight): weight is ln(total / cnt)."""
-        ranked = placed(self.counts.withColumn("known", F.lit(1)), "known").drop("known").withColumnRenamed("before", "term_idx")
+        """(field_idx, term, cnt, term_idx, total, dim, weight): term_idx is the term's place by its
+        bytes, weight is ln(total / cnt)."""
+        ranked = before(self.counts, "field_idx", ["term"]).withColumnRenamed("before", "term_idx")
         rows = ranked.join(F.broadcast(self.fields.select("field_idx", "total", "dim")), "field_idx")
         return cut(rows.withColumn("weight", F.log(F.col("total") / F.col("cnt"))).select("field_idx", "term", "cnt", "term_idx", "total", "dim", "weight"))
 

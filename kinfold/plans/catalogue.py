@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold import cli
 from kinfold.functions import codecs, gauss, transforms, vectors
 from kinfold.operators import encoder as enc
 from kinfold.operators import index as idx
-from kinfold.operators.lineage import cut
+from kinfold.operators.lineage import cut, shared_folder
 from kinfold.operators.signature import planes, sign, sums
 from kinfold.operators.vocabulary import Vocabulary, field_terms, learn
 from kinfold.sources import delimited
 from kinfold.streaming import indexing
 
+from . import protocols
 from .definitions import FieldDef, SchemaDef, SourceDef, Transform
 
 UP, SPLIT = Transform("upcase"), Transform("split")
@@ -35,8 +39,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new path in the folder that the executors share; a local one only where none is set."""
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+    """A new path in the folder that the executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # Scans and projections
@@ -56,6 +60,15 @@ def csv_quotes_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.read(spark, SourceDef({"first": 2, "last": 3}, glob=f"{path}/*.txt"))
 
 
+def source_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read through the source interface, by a definition in JSON."""
+    path = _folder(spark)
+    rows = _read(spark, sf_dir, "customer").select("c_name", "c_custkey", "c_mktsegment")
+    rows.write.csv(path, header=False, escape='"')
+    text = json.dumps({"fields": [{"name": "segment", "column": 3}, {"name": "name", "column": 1}], "id_column": 2, "glob": f"{path}/*.csv"})
+    return protocols.DelimitedSource(SourceDef.from_json(text)).records(spark)
+
+
 def concat_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "customer")
     return rows.select("c_custkey", transforms.joined(("c_mktsegment", "absent", "c_name"), rows.columns).alias("joined"))
@@ -107,7 +120,7 @@ def document_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A large vocabulary: every blank-separated word of the documents."""
     words = _read(spark, sf_dir, "documents").select(F.lit(0).alias("field_idx"), F.explode(F.split("text", " ")).alias("term")).where("term <> ''")
     counts = words.groupBy("field_idx", "term").agg(F.count("*").alias("cnt"))
-    return Vocabulary(SchemaDef(64, 8, (FieldDef(("text",)),)), counts).table.select("term", "cnt", "term_idx", "total", "dim")
+    return Vocabulary(SchemaDef(64, 8, (FieldDef(("text",)),)), cut(counts)).table.select("term", "cnt", "term_idx", "total", "dim")
 
 
 # Components and signatures
@@ -143,7 +156,7 @@ def schema_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signature_oov(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment")
-    signed = sign(rows.where("id % 2 = 1"), learn(rows.where("id % 2 = 0"), CUSTOMERS))
+    signed = sign(rows, learn(rows.where("id % 2 = 0"), CUSTOMERS))
     return signed.select("id", F.array_join(F.transform("signature", lambda c: c.cast("string")), ",").alias("signature"), F.col("sign_error").isNotNull().alias("failed"))
 
 
@@ -176,10 +189,10 @@ def index_rewrite_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which parts share chunks with every hundredth part? Best first."""
+    """Which parts share chunks with every fiftieth part? Best first."""
     rows = _parts(spark, sf_dir)
     signed = cut(sign(rows, learn(rows, PARTS)))
-    probes = signed.where("id % 100 = 0")
+    probes = signed.where("id % 50 = 0")
     return idx.ranked(idx.match(probes, idx.postings(signed), rows.select("id", "p_name", "p_type")))
 
 
@@ -208,7 +221,7 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = idx.Index(spark, _folder(spark))
     index.write(rows, signed, 1)
     index.write(rows.where("id % 7 = 0"), signed.where("id % 7 = 0"), 2)
-    return index.query(signed.where("id % 100 = 0")).select("query_id", "id", "p_name", "p_type", "matches")
+    return index.query(signed.where("id % 50 = 0")).select("query_id", "id", "p_name", "p_type", "matches")
 
 
 def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,10 +232,50 @@ def index_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     learnt, index = learn(rows, PARTS), idx.Index(spark, f"{path}/index")
     streamed = delimited.read_stream(spark, source, f"{path}/in")
     indexing.index_stream(streamed, learnt, index, f"{path}/progress").awaitTermination()
-    probes = sign(rows.where("id % 100 = 0"), learnt)
+    probes = sign(rows.where("id % 50 = 0"), learnt)
     return index.query(probes).select("query_id", "id", "p_name", "p_type", "matches")
 
 
+def index_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by id, of an index in two versions."""
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_mktsegment")
+    signed = rows.select("id", F.array(F.lit(1).cast("bigint")).alias("signature"), F.lit(None).cast("string").alias("sign_error"))
+    index = idx.Index(spark, _folder(spark))
+    index.write(rows, signed, 1)
+    index.write(rows.where("id % 5 = 0").withColumn("name", F.concat("name", F.lit(" II"))), signed, 2)
+    return index.fetch(rows.where("id % 3 = 0").unionByName(rows.where("id % 3 = 0")))
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commands learn and index over files, and the index queried."""
+    path = _folder(spark)
+    rows = _parts(spark, sf_dir)
+    rows.write.csv(f"{path}/in", header=False, escape='"')
+    source = SourceDef({"p_name": 2, "p_type": 3, "p_brand": 4})
+    with tempfile.TemporaryDirectory() as local:  # definitions are read by the driver alone
+        (Path(local) / "schema.json").write_text(PARTS.to_json())
+        (Path(local) / "source.json").write_text(source.to_json())
+        files = ["--source", f"{local}/source.json", "--in", f"{path}/in/*.csv"]
+        cli.main(["learn", "--schema", f"{local}/schema.json", "--out", f"{path}/learnt", *files], spark)
+        cli.main(["index", "--schema", f"{path}/learnt", "--index", f"{path}/index", *files], spark)
+    learnt = Vocabulary.load(spark, f"{path}/learnt")
+    return idx.Index(spark, f"{path}/index").query(sign(rows.where("id % 50 = 0"), learnt)).select("query_id", "id", "p_name", "p_type", "matches")
+
+
+def command_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command that keeps random components."""
+    path = _folder(spark)
+    cli.main(["hash", "--count", "20000", "--out", path], spark)
+    return spark.read.parquet(path).select("i", "q", F.round("x", 9).alias("x"))
+
+
+def signature_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of the documented size, 2,048 hashes in chunks of 16, as one digest each."""
+    rows = _parts(spark, sf_dir)
+    signed = sign(rows, learn(rows, SchemaDef(2048, 16, (NAME, TYPE))))
+    return signed.select("id", F.md5(F.array_join(F.transform("signature", lambda c: c.cast("string")), ",").cast("binary")).alias("signature"))
+
+
 def key_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 77377 % 4294967296).alias("id"))
     rows = rows.withColumns({"chunk": F.col("id") % 256, "value": F.col("id") % 65536})
@@ -266,6 +319,20 @@ def vec_mixed_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.round(vectors.mixed_dot(F.col("a"), vectors.sparse(F.col("b"), 0.1)), 6) + 0.0).alias("dot"))
 
 
+def vec_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products and cosines by the vectors' types."""
+    rows = _pairs(spark, sf_dir).withColumns({"sa": vectors.sparse(F.col("a"), 0.1), "sb": vectors.sparse(F.col("b"), 0.1)})
+    told = {f"{x}_{y}": (x, y) for x in ("a", "sa") for y in ("b", "sb")}
+    both = {f"dot_{k}": vectors.dot_of(rows, *v) for k, v in told.items()} | {f"cos_{k}": vectors.cosine_of(rows, *v) for k, v in told.items()}
+    return rows.select("vec_id", *((F.round(c, 6) + 0.0).alias(k) for k, c in both.items()))
+
+
+def vec_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random vector per order: quantised components from the order's number on."""
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey")
+    return rows.select("o_orderkey", F.posexplode(F.transform(vectors.random(8, start=100), lambda q: q)).alias("pos", "q"))
+
+
 def vec_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.dense(F.col("embedding")).alias("v"))
     (plane,) = vectors.planes(spark, 1, 64)
@@ -286,6 +353,13 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.array(status, F.col("o_orderpriority")).alias("fields"))
 
 
+def encoder_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As encoder_encode, with the learnt counts written and read again."""
+    rows, path = _cells(spark, sf_dir), _folder(spark)
+    enc.learn(rows.where("seq % 2 = 1 and fields[0] in ('O', 'F')")).save(path)
+    return _coded(enc.Encoder.load(spark, path).encode(rows))
+
+
 def encoder_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc.learn(_cells(spark, sf_dir)).counts
 
@@ -297,7 +371,10 @@ def encoder_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoder_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learnt from odd orders of status O and F, applied to all: status P is unknown."""
     rows = _cells(spark, sf_dir)
-    coded = enc.learn(rows.where("seq % 2 = 1 and fields[0] in ('O', 'F')")).encode(rows)
+    return _coded(enc.learn(rows.where("seq % 2 = 1 and fields[0] in ('O', 'F')")).encode(rows))
+
+
+def _coded(coded: DataFrame) -> DataFrame:
     return coded.select("seq", "vector.dimension", F.posexplode("vector.components").alias("pos", "c")).select("seq", "dimension", "pos", F.col("c.index").alias("index"), F.round("c.value", 6).alias("value"))
 
 
@@ -308,6 +385,7 @@ def terms_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "scan_project": scan_project,
     "csv_quotes_empty": csv_quotes_empty,
+    "source_definition": source_definition,
     "concat_attrs": concat_attrs,
     "xf_substr": _transformed("part", "p_partkey", "p_type", Transform("substr", {"begin": 2, "end": 5})),
     "xf_upcase": _transformed("part", "p_partkey", "p_name", UP),
@@ -337,6 +415,10 @@ QUERIES = {
     "match_query": match_query,
     "match_top": match_top,
     "match_injected_golden": match_injected_golden,
+    "index_fetch": index_fetch,
+    "command_line": command_line,
+    "command_hash": command_hash,
+    "signature_2048": signature_2048,
     "key_codecs": key_codecs,
     "vec_norm": vec_norm,
     "vec_dot": vec_dot,
@@ -344,11 +426,14 @@ QUERIES = {
     "vec_quantised": vec_quantised,
     "vec_sparse_dot": vec_sparse_dot,
     "vec_mixed_dot": vec_mixed_dot,
+    "vec_dispatch": vec_dispatch,
+    "vec_random": vec_random,
     "vec_hash": vec_hash,
     "vec_signature16": vec_signature16,
     "encoder_vocab": encoder_vocab,
     "encoder_weights": encoder_weights,
     "encoder_encode": encoder_encode,
+    "encoder_round_trip": encoder_round_trip,
 }
 
 from .oracle import ORACLE  # noqa: E402  the SQL of these queries

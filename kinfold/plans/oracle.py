@@ -96,7 +96,7 @@ _NAME_ROWS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(x.replace("'", "''"
 _OOV_TOKENS = """every as (select 0::int as field_idx, c_custkey as id, c_name as term from customer union all select 1, c_custkey, c_mktsegment from customer),
 tokens as (select * from every where id % 2 = 0)"""
 _OOV = f"""with {_learnt(_OOV_TOKENS, 32)}, {_planes(32)},
-asked as (select * from every where id % 2 = 1),
+asked as (select * from every),
 placed as (
   select a.id, a.field_idx, coalesce(k.term_idx, (select count(*) from vocab v where v.field_idx = a.field_idx and v.term < a.term)) as term_idx,
     coalesce(k.weight, 'inf'::double) as weight
@@ -134,6 +134,7 @@ d as (select e.vec_id, p.k, sum(e.x * p.x) as s from e join planes p on p.j = e.
 ORACLE = {
     "scan_project": "select c_custkey as id, c_mktsegment as segment, c_name as name from customer",
     "csv_quotes_empty": "select * from (values (1::bigint, 'a \"b\", c', 'x'), (2, '', 'two' || chr(10) || 'lines'), (4294967295, '', '''')) t(id, first, last)",
+    "source_definition": "select c_custkey as id, c_mktsegment as segment, c_name as name from customer",
     "concat_attrs": "select c_custkey, c_mktsegment || c_name as joined from customer",
     "xf_substr": "select p_partkey, 0::int as pos, substring(p_type, 3, 3) as term from part",
     "xf_upcase": "select p_partkey, 0::int as pos, upper(p_name) as term from part",
@@ -159,11 +160,15 @@ select term, cnt, (row_number() over (order by term) - 1)::bigint as term_idx, (
     "index_postings_set": f"{_SIGNED_PARTS} select chunk_idx, chunk_val, id from signed",
     "index_postings_multiset": f"{_SIGNED_PARTS} select chunk_idx, chunk_val, id, case when id % 3 = 0 then 2 else 1 end::bigint as n from signed",
     "index_rewrite_latest": "select c_custkey as id, case when c_custkey % 5 = 0 then c_name || ' II' else c_name end as name from customer",
-    "index_round_trip": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(100)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
-    "index_stream": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(100)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
-    "match_query": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(100)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
+    "index_round_trip": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(50)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
+    "index_stream": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(50)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
+    "match_query": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(50)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
     "match_top": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(50)}) select query_id, id, matches from m where matches >= 3 qualify row_number() over (partition by query_id order by matches desc, id) <= 5",
     "match_injected_golden": "select * from (values (0::bigint, 1::bigint, 'John', 'Doe', 4::bigint), (0, 2, 'Jane', 'Roe', 3)) t(query_id, id, first, last, matches)",
+    "index_fetch": "select c_custkey as id, case when c_custkey % 5 = 0 then c_name || ' II' else c_name end as name, c_mktsegment from customer where c_custkey % 3 = 0",
+    "command_line": f"{_SIGNED_PARTS}, m as ({_MATCHES.format(50)}) select m.query_id, m.id, p_name, p_type, m.matches from m join part on p_partkey = m.id",
+    "command_hash": f"select i, q, round(q / 4096.0 - 8.0, 9) as x from (select i, {_quantised('i')} as q from range(20000) r(i))",
+    "signature_2048": f"with {_learnt(f'tokens as ({_NAME} union all {_TYPE})', 2048)}, {_planes(2048)}, {_signed(2048, 16, _ALL_PARTS)} select id, md5(string_agg(chunk_val::varchar, ',' order by chunk_idx)) as signature from signed group by id",
     "key_codecs": """with k as (select o_orderkey * 77377 % 4294967296 as id from orders)
 select id, to_base64(unhex(printf('%02X%04X', id % 256, id % 65536))) as bucket, to_base64(unhex(printf('%08X', id))) as key, id as back from k""",
     "vec_norm": "select vec_id, len(embedding)::bigint as dimension, round(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 6) as norm, round(embedding[4]::double, 6) as third from embeddings",
@@ -174,6 +179,8 @@ select vec_id, list_sum(q)::bigint as steps, round(sqrt(list_sum(list_transform(
     "vec_sparse_dot": f"""with {_DENSE}, s as (select vec_id, {_SPARSE.format("a")} as a, {_SPARSE.format("b")} as b from pairs)
 select vec_id, round(list_dot_product(a, b), 6) + 0.0 as dot, round(sqrt(list_dot_product(a, a)), 6) as norm, round(a[6], 6) + 0.0 as fifth from s""",
     "vec_mixed_dot": f"with {_DENSE} select vec_id, round(list_dot_product(a, {_SPARSE.format('b')}), 6) + 0.0 as dot from pairs",
+    "vec_dispatch": f"with {_DENSE}, s as (select *, {_SPARSE.format('a')} as sa, {_SPARSE.format('b')} as sb from pairs) select vec_id, " + ", ".join(f"round(list_dot_product({x}, {y}), 6) + 0.0 as dot_{x}_{y}, round(list_dot_product({x}, {y}) / (sqrt(list_dot_product({x}, {x})) * sqrt(list_dot_product({y}, {y}))), 6) + 0.0 as cos_{x}_{y}" for x in ("a", "sa") for y in ("b", "sb")) + " from s",
+    "vec_random": f"select o_orderkey, p::int as pos, {_quantised('100 + p')} as q from orders, range(8) r(p)",
     "vec_hash": f"{_SIDES} select vec_id, s >= 0 as side from d where k = 0",
     "vec_signature16": f"{_SIDES} select vec_id, bit_or(case when s >= 0 then 1::int << k else 0 end)::int as signature from d where k < 16 group by vec_id",
     "encoder_vocab": f"with {_encoder('true')} select field_pos, term, cnt, term_id, record_count, dim from known",
@@ -185,3 +192,4 @@ select c.seq, (select sum(dim)::bigint from (select distinct field_pos, dim from
 from cells c join starts s using (field_pos) left join known k on k.field_pos = c.field_pos and k.term = c.term
 left join known z on z.field_pos = c.field_pos and z.term_id = 0""",
 }
+ORACLE["encoder_round_trip"] = ORACLE["encoder_encode"]

@@ -57,7 +57,7 @@ class LearntSigner:
     """Signatures from a learnt vocabulary."""
 
     vocabulary: Vocabulary
-    seed: str = gauss.SEED
+    seed: str | RandomProvider = gauss.SEED
     oov: str = "reference"
 
     @property

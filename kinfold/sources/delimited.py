@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,9 +42,20 @@ def read(spark: SparkSession, source: SourceDef, glob: str | None = None, multi_
     return project(_options(spark.read, source, multi_line).csv(glob or source.glob), source)
 
 
-def read_stream(spark: SparkSession, source: SourceDef, glob: str | None = None) -> DataFrame:
-    """The same as a stream of files, ``concurrent`` of them at a time if that is set."""
-    count = max([source.id_column, *source.columns.values()])
+def _width(spark: SparkSession, source: SourceDef, glob: str | None) -> int:
+    named = max([source.id_column, *source.columns.values()])
+    try:
+        return max(named, len(_options(spark.read, source, True).csv(glob or source.glob).columns))
+    except AnalysisException:  # no file is there, or none has a row
+        return named
+
+
+def read_stream(spark: SparkSession, source: SourceDef, glob: str | None = None, width: int | None = None) -> DataFrame:
+    """The same as a stream of files, ``concurrent`` of them at a time if that is set.
+
+    All rows have ``width`` columns; if that is not given, as many as the files that are there
+    when the stream starts, or as the definition names if there are none yet."""
+    count = width or _width(spark, source, glob)
     schema = StructType.fromDDL(", ".join(f"_c{k} string" for k in range(count)))
     reader = _options(spark.readStream, source, True).schema(schema)
     if source.concurrent:

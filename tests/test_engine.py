@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from kinfold import cli
 from kinfold.functions import codecs, gauss, transforms, vectors
 from kinfold.operators import encoder as enc
+from kinfold.operators import lineage, signature
 from kinfold.operators import index as idx
 from kinfold.operators.signature import sign, sums
 from kinfold.operators.vocabulary import Vocabulary, learn
+from kinfold.plans import protocols
 from kinfold.plans.catalogue import GOLDEN, GOLDEN_PROBE, NAMES
 from kinfold.plans.definitions import FieldDef, SchemaDef, SourceDef, Transform
 from kinfold.sources import delimited
@@ -412,3 +414,42 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stream_of_wider_files(spark, tmp_path):
+    """Files with more columns than the definition names read alike as batch and as stream."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("1,x,y,z\n2,,q,\n")
+    source = SourceDef({"second": 2}, glob=f"{tmp_path}/in/*.csv")
+    stream = delimited.read_stream(spark, source)
+    stream.writeStream.format("memory").queryName("wide_files").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(spark.table("wide_files").collect()) == sorted(delimited.read(spark, source).collect())
+    assert delimited.read_stream(spark, source, f"{tmp_path}/none*.csv", width=4).columns == ["id", "second"]
+
+
+def test_paths_without_broadcast(spark, monkeypatch):
+    """Signatures are the same whether planes and terms are broadcast or not, and by a provider."""
+    rows = spark.createDataFrame([(k, f"NAME {k % 5} OF {k % 3}", f"t{k % 4}") for k in range(60)], "id bigint, n string, m string")
+    schema = SchemaDef(32, 8, (FieldDef(("n",), (Transform("split"),)), FieldDef(("m",))))
+    learnt = learn(rows.where("id < 20"), schema)
+    told = lambda **options: sorted((r.id, r.signature, r.sign_error) for r in sign(rows, learnt, **options).collect())
+    want = told()
+    assert told(seed=protocols.Gauss()) == want
+    monkeypatch.setattr(signature, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(signature, "BROADCAST_TERMS", 0)
+    assert told() == want and told(seed=protocols.Gauss()) == want
+
+
+def test_one_prefix_is_numbered_over_ranges(spark):
+    rows = spark.createDataFrame([(k % 2, f"Customer#{k:06d}") for k in range(2_000)], "g int, term string").repartition(7)
+    got = {(r.g, r.term): r.before for r in lineage.before(rows, "g", ["term"]).collect()}
+    for g in (0, 1):
+        assert [got[g, f"Customer#{k:06d}"] for k in range(g, 2_000, 2)] == list(range(1_000))
+
+
+def test_vector_types_are_checked(spark):
+    rows = spark.createDataFrame([([1.0, 2.0], "x")], "v array<float>, t string").withColumn("s", vectors.sparse(vectors.dense(F.col("v"))))
+    got = rows.select(vectors.dot_of(rows, "v", "s").alias("a"), vectors.dot_of(rows, "s", "v").alias("b"), vectors.cosine_of(rows, "v", "s").alias("c")).first()
+    assert (got.a, got.b) == (5.0, 5.0) and abs(got.c - 1) < 1e-12
+    with pytest.raises(TypeError):
+        vectors.dot_of(rows, "v", "t")
