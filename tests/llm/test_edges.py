@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from kinfold.llm import bpe, chat, lines, media, minhash, mixing, pii, quality, suffix
+from kinfold.llm import ann, bpe, chat, lines, media, minhash, mixing, pii, quality, suffix
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -51,6 +51,30 @@ def test_empty_conversations(spark):
     assert [r.conv_id for r in got] == [-7]
 
 
+def test_odd_conversations(spark):
+    rows = [(1, 0, "user", "a <b> &"), (1, 0, "user", "a <b> &"), (None, None, None, None), (2, None, "assistant", None), (2, 1, "", ""), (3, 0, "assistant", "long " * 40_000), (-7, 5, "user", "more")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", *(f"'c' as {c}" for c in [*CLASHING, "conv", "body", "shown", "head", "start", "number", "span", "formatted", "turns", "loss", "parts", "attached"]))
+    got = {r.conv_id: r for r in chat.digests(turns).collect()}
+    assert {n: r.n_turns for n, r in got.items()} == {1: 2, None: 1, 2: 2, 3: 1, -7: 3}
+    assert got[3].loss_chars == 200_000 and got[2].loss_chars == 0
+
+
+def test_odd_vectors(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, None), (2, [None, 1.0]), (3, [nan, 0.0]), (4, [0.0, 0.0]), (None, [1.0, 1.0]), (5, [0.5, 0.5]), (6, [0.5, 0.5]), (20, [1.0] * 3_000), (40, [1.0] * 3_000), (7, [])]
+    names = [c for c in CLASHING if c != "id"]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", *(f"'c' as {c}" for c in [*names, "id", "v", "region", "sub", "salt", "told", "floor", "hits", "rank", "place", "copy"]))
+    got = sorted(map(tuple, ann.nearest(table).collect()))
+    assert got == [(0, 1, 5, 0.5), (0, 2, 6, 0.5), (20, 1, 40, 3_000.0), (40, 1, 20, 3_000.0)]
+
+
+def test_repeated_rows_everywhere(spark):
+    """A table in which a third of all rows is one row."""
+    docs = spark.range(900).selectExpr("if(id % 3 = 0, 1, id) as doc_id", "if(id % 3 = 0, 'the same words in every copy of one text', concat('own words ', id)) as text", "'en' as lang", "concat('s', id % 3) as source", "0L as n_chars")
+    for name in ("minhash", "suffix", "mixing", "quality", "lines", "media"):
+        assert OPERATORS[name](docs).count() == 900
+
+
 @pytest.fixture
 def labels(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
