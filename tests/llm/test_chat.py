@@ -67,6 +67,24 @@ def test_very_many_parts(spark):
     assert [p.text for p in out.turns[0].parts[::2]] == [f"<{k}" for k in range(0, 40_000, 2)] and [p.number for p in out.turns[0].parts[1::2]] == list(range(20_000))
 
 
+def test_very_many_turns(spark):
+    """A conversation of 40,000 turns takes seconds; spans lie within, across and at the ends of blocks."""
+    text = F.when(F.col("id") % 7 == 0, "").when(F.col("id") % 11 == 1, F.repeat(F.lit("🤖<é"), 700)).otherwise(F.concat(F.lit("é🤖 & "), F.col("id").cast("string")))
+    rows = spark.range(40_000).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"), text.alias("text"))
+    texts = ["" if k % 7 == 0 else "🤖<é" * 700 if k % 11 == 1 else f"é🤖 & {k}" for k in range(40_000)]
+    got = chat.digests(rows).where("conv_id = 1").first()
+    assert got.n_turns == 40_000 and got.loss_sha256 == sha("".join(texts[::3])) and got.loss_chars == sum(map(len, texts[::3]))
+    assert got.turns_sha256 == sha("".join(f"{'assistant' if k % 3 == 0 else 'user'}\n{t}\n" for k, t in enumerate(texts)))
+
+
+@pytest.mark.parametrize("n", [0, 1, chat.BLOCK - 1, chat.BLOCK, chat.BLOCK + 1, 3 * chat.BLOCK])
+def test_spans_at_the_edges_of_blocks(spark, n):
+    text = "🤖" + "x" * (n - 1) if n else ""
+    spans = sorted({(a, b) for a in (0, 1, n // 2, n - 1, n) for b in (a, n // 2, n - 1, n) if 0 <= a <= b})
+    rows = spark.createDataFrame([(text, [{"start": a, "end": b} for a, b in spans])], "t string, m array<struct<start:bigint,end:bigint>>")
+    assert rows.select(chat.masked(F.col("t"), F.col("m")).alias("r")).first().r == "".join(text[a:b] for a, b in spans)
+
+
 @pytest.mark.parametrize("text", ["&amp;lt;", "<&>", ""])
 def test_escaping(spark, text):
     r = spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t")).alias("e")).withColumn("u", chat.unescape(F.col("e"))).first()
