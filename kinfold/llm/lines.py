@@ -59,8 +59,13 @@ def dropped(rows: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def _kept(text: Column, drop: Column) -> Column:
-    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(drop, i))
-    return F.when(drop.isNull(), text).otherwise(F.array_join(left, "\n"))
+    """``text`` without the lines at the positions ``drop``, in time linear in both."""
+
+    def left(lines: Column) -> Column:
+        at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+        return F.array_join(F.transform(at, lambda k: F.get(lines, k)), "\n")
+
+    return F.when(drop.isNull(), text).otherwise(F.transform(F.array(F.split(text, "\n")), left)[0])
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:

@@ -56,3 +56,9 @@ def test_rewriting_keeps_rows_and_columns(spark):
     got = {r.doc_id: r for r in lines.rewrite(docs).collect()}
     assert lines.rewrite(docs).columns == docs.columns and len(got) == 12
     assert got[0].text == "common\nown 0" and got[0].n_chars == 7 and got[5].text == "own 5" and got[5].n_chars == 5 and got[3].text is None and got[5].drop == "x"
+
+
+def test_very_many_lines_to_remove(spark):
+    """Texts of 40,000 lines that lose nearly all of them take seconds."""
+    rows = [(i, "\n".join([f"line {k}" for k in range(40_000)] + [f"own {i}", ""]), f"s{i}") for i in range(4)]
+    check(spark, rows, 3)
