@@ -197,8 +197,14 @@ class ByteBpe:
         self.cache, self.verdicts = {}, {}
 
     def decode(self, ids: bytes) -> str:
-        """The text of such ids; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+        """The text of such ids; bytes that are not UTF-8 become U+FFFD, and ids that the
+        vocabulary does not hold are left out, as the library does."""
+        numbers = memoryview(ids).cast("I")
+        try:
+            found = list(map(self.bytes_of.__getitem__, numbers))
+        except KeyError:
+            found = [self.bytes_of.get(n, b"") for n in numbers]
+        return b"".join(found).decode("utf-8", "replace")
 
 
 _loaded: dict[int, ByteBpe] = {}
@@ -258,7 +264,8 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
 
 def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col`` and ``decoded`` for ids as :func:`encode` gives them; null ids give ''."""
+    """``id_col`` and ``decoded`` for ids as :func:`encode` gives them; null ids give '', and ids
+    outside the vocabulary are left out. Repeated rows and null keys are kept."""
     ship(df.sparkSession)
     with open(tokenizer_path, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())

@@ -74,3 +74,10 @@ def test_decode_alone(spark):
     rows = spark.createDataFrame([(1, "é x"), (2, None)], "doc_id bigint, text string")
     back = bpe.decode(bpe.encode(rows, PATH), PATH)
     assert {r.doc_id: r.decoded for r in back.collect()} == {1: "é x", 2: ""}
+
+
+def test_ids_outside_the_vocabulary_are_left_out(spark, own, library):
+    known = library.encode("abc é", add_special_tokens=False).ids
+    mixed = [4_000_000_000, *known, 3_999_999_999]
+    raw = b"".join(n.to_bytes(4, "little") for n in mixed)
+    assert own.decode(raw) == library.decode(mixed, skip_special_tokens=False) == "abc é"
