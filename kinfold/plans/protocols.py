@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from kinfold.functions import gauss
 from kinfold.operators.signature import sign
-from kinfold.operators.vocabulary import Vocabulary
 from kinfold.sources import delimited
 
-from .definitions import SourceDef
+from .definitions import SchemaDef, SourceDef
 
 
 @runtime_checkable
@@ -35,6 +34,26 @@ class Signer(Protocol):
     def sign(self, records: DataFrame) -> DataFrame: ...
 
 
+@runtime_checkable
+class Classifier(Protocol):
+    """What signing needs to know of the terms. Any counts do, learnt or brought along.
+
+    counts: (field_idx, term, cnt); fields: (field_idx, total, dim, field_offset), one row a
+    field; table: (field_idx, term, cnt, term_idx, total, dim, weight), one row a term."""
+
+    @property
+    def schema(self) -> SchemaDef: ...
+
+    @property
+    def counts(self) -> DataFrame: ...
+
+    @property
+    def fields(self) -> DataFrame: ...
+
+    @property
+    def table(self) -> DataFrame: ...
+
+
 @runtime_checkable
 class RandomProvider(Protocol):
     """A number for an index, always the same one."""
@@ -54,9 +73,9 @@ class DelimitedSource:
 
 @dataclass(frozen=True)
 class LearntSigner:
-    """Signatures from a learnt vocabulary."""
+    """Signatures from a learnt vocabulary, or from another classifier."""
 
-    vocabulary: Vocabulary
+    vocabulary: Classifier
     seed: str | RandomProvider = gauss.SEED
     oov: str = "reference"
 

@@ -32,13 +32,26 @@ def project(rows: DataFrame, source: SourceDef) -> DataFrame:
     return rows.select(parsed_id(F.col(names[source.id_column - 1])).alias("id"), *cells)
 
 
-def read(spark: SparkSession, source: SourceDef, glob: str | None = None, multi_line: bool = True) -> DataFrame:
+def one_line_rows(spark: SparkSession, source: SourceDef, glob: str | None = None) -> bool:
+    """Whether every line of the files is a whole row: none has a quote that does not belong to a
+    quoted cell, none a carriage return but at its end. The search stops at the first other line."""
+    mark = rf"\Q{source.delimiter}\E"
+    quoted = rf'(?:^|(?<={mark}))"[^"]*+(?:""[^"]*+)*+"(?={mark}|\r?\z)'
+    line = F.col("value")
+    odd = F.regexp_replace(line, quoted, "").contains('"') | line.rlike(r"\r[\s\S]") | ((line != "") & ~line.rlike(r"[^\x00-\x20]"))
+    return spark.read.option("lineSep", "\n").text(glob or source.glob).where(odd).isEmpty()
+
+
+def read(spark: SparkSession, source: SourceDef, glob: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """All records of the files that ``glob`` (or the definition's) names.
 
     Blank lines are skipped; a row of another length or an id that is no unsigned 32-bit number
-    stops the read. With ``multi_line`` quoted cells may hold line ends, but a file is then read
-    by one task; turn it off for large files without such cells.
+    stops the read. Quoted cells may hold line ends; a file that is read with ``multi_line`` is
+    read by one task. Without it files are split, which is right if every line is a whole row.
+    Which of them holds is found by a pass over the lines unless it is given.
     """
+    if multi_line is None:
+        multi_line = not one_line_rows(spark, source, glob)
     return project(_options(spark.read, source, multi_line).csv(glob or source.glob), source)
 
 
@@ -50,14 +63,15 @@ def _width(spark: SparkSession, source: SourceDef, glob: str | None) -> int:
         return named
 
 
-def read_stream(spark: SparkSession, source: SourceDef, glob: str | None = None, width: int | None = None) -> DataFrame:
-    """The same as a stream of files, ``concurrent`` of them at a time if that is set.
+def read_stream(spark: SparkSession, source: SourceDef, glob: str | None = None, width: int | None = None, multi_line: bool = True) -> DataFrame:
+    """The same as a stream of files, ``concurrent`` of them at a time if that is set. Lines of
+    files that are still to come cannot be looked at, so cells may hold line ends unless told.
 
     All rows have ``width`` columns; if that is not given, as many as the files that are there
     when the stream starts, or as the definition names if there are none yet."""
     count = width or _width(spark, source, glob)
     schema = StructType.fromDDL(", ".join(f"_c{k} string" for k in range(count)))
-    reader = _options(spark.readStream, source, True).schema(schema)
+    reader = _options(spark.readStream, source, multi_line).schema(schema)
     if source.concurrent:
         reader = reader.option("maxFilesPerTrigger", source.concurrent)
     return project(reader.csv(glob or source.glob), source)

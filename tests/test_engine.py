@@ -86,6 +86,45 @@ def test_bad_rows_raise(spark, tmp_path, text):
         delimited.read(spark, FRUIT, write(tmp_path, a=text)).select("id").collect()
 
 
+LINES = {
+    "plain": ('1,a,b\n2,"x, ""y"" z",\n\n3,"",""\r\n4,"""",e', True),
+    "line end in a cell": ('1,"a\nb",c\n', False),
+    "quotes in pairs around a line end": ('1,"a"",b\n""c",d\n', False),
+    "a bare quote": ('1,a"b,c\n', False),
+    "a line of blanks": ("1,a,b\n  \n", False),
+    "a carriage return": ("1,a\rb,c\n", False),
+    "many doubled quotes": ('1,"' + '""' * 20_000 + '",' + "x" * 100_000 + "\n", True),
+    "nothing": ("", True),
+}
+
+
+@pytest.mark.parametrize("name", LINES)
+def test_lines_that_are_rows(spark, tmp_path, name):
+    text, want = LINES[name]
+    glob = write(tmp_path, a=text)
+    assert delimited.one_line_rows(spark, FRUIT, glob) == want
+    if want and text:
+        assert delimited.read(spark, FRUIT, glob).collect() == delimited.read(spark, FRUIT, glob, multi_line=True).collect()
+
+
+@pytest.mark.parametrize("mark", ["|", "\t", ".", "\\"])
+def test_lines_by_delimiter(spark, tmp_path, mark):
+    source = SourceDef({"a": 2}, delimiter=mark)
+    assert delimited.one_line_rows(spark, source, write(tmp_path, a=f'1{mark}"x{mark}y"\n'))
+    assert not delimited.one_line_rows(spark, source, write(tmp_path, a='1;"x"\n'))
+
+
+def test_files_without_line_ends_in_cells_are_split(spark, tmp_path):
+    glob = write(tmp_path, a="".join(f"{k},name {k},3\n" for k in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        split, whole = (delimited.read(spark, FRUIT, glob, multi_line=m) for m in (None, True))
+        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        assert split.agg(F.sum("id"), F.count("*")).first() == whole.agg(F.sum("id"), F.count("*")).first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_missing_column_raises(spark, tmp_path):
     with pytest.raises(ValueError):
         delimited.read(spark, SourceDef({"a": 5}), write(tmp_path, a="1,2\n"))
@@ -326,6 +365,7 @@ def test_protocols(spark, tmp_path):
     rows = source.records(spark)
     signer = protocols.LearntSigner(learn(rows, SchemaDef(17, 4, (FieldDef(("fruit",)),))))
     assert isinstance(source, protocols.Source) and isinstance(signer, protocols.Signer) and isinstance(protocols.Gauss(), protocols.RandomProvider)
+    assert isinstance(signer.vocabulary, protocols.Classifier)
     assert (signer.signature_length, signer.chunk_bits) == (4, 4) and [len(r.signature) for r in signer.sign(rows).collect()] == [4, 4]
     assert math.isclose(value(spark, protocols.Gauss().get(F.lit(5))), python_component(5))
 
