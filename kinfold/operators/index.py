@@ -27,9 +27,9 @@ def postings(signed: DataFrame, mode: str = "set") -> DataFrame:
 
 
 def latest(records: DataFrame, version: str = "version") -> DataFrame:
-    """One row per id: the one of the highest version."""
+    """One row per id: the one of the highest version, of several always the same."""
     others = [c for c in records.columns if c not in ("id", version)]
-    best = records.groupBy("id").agg(F.max_by(F.struct(*others), version).alias("r"))
+    best = records.groupBy("id").agg(F.max_by(F.struct(*others), F.struct(version, F.xxhash64(F.lit(0), *others), F.xxhash64(F.lit(1), *others))).alias("r"))
     return best.select("id", *(f"r.{c}" for c in others))
 
 

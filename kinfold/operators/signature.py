@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import gauss
+from kinfold.plans.definitions import SchemaDef
 
 from .lineage import before, cut
 from .vocabulary import Vocabulary, field_terms
@@ -23,6 +24,8 @@ SLACK = 1e-9
 BROADCAST_TERMS = 200_000
 #: Bytes of planes up to which they may be broadcast.
 BROADCAST_BYTES = 32_000_000
+#: Copies of a record that one step writes out.
+TIMES = 10_000
 
 
 def quantised(index: Column, seed) -> Column:
@@ -38,7 +41,7 @@ def planes(vocabulary: Vocabulary, seed=gauss.SEED) -> DataFrame:
     return rows.select("field_idx", "term_idx", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: quantised(index(i.cast("bigint")), seed)).alias("q"))
 
 
-def weighted_terms(records: DataFrame, vocabulary: Vocabulary, oov: str = "reference", id_col: str = "id") -> DataFrame:
+def weighted_terms(records: DataFrame, id_col: str, vocabulary: Vocabulary, oov: str = "reference") -> DataFrame:
     """(id, field_idx, pos, term, term_idx, weight) of every term occurrence, and a row without
     a term for a field that has none.
 
@@ -77,14 +80,25 @@ def _made_sums(k: int, zero: Column, seed) -> Column:
     return F.aggregate(own, zero, lambda s, p: F.transform(s, lambda x, i: x + p["weight"] * gauss.uncompact(quantised(at(p, i), seed))))
 
 
+def _told_apart(records: DataFrame, schema: SchemaDef, id_col: str) -> tuple[DataFrame, str]:
+    """``records`` and the name of a column more: the id and two hashes of what the schema reads
+    of a record, null as ''. Records that have all of them equal have equal signatures."""
+    name = "_" * (1 + max(map(len, records.columns)))
+    attrs = dict.fromkeys(a for f in schema.fields for a in f.attrs if a in records.columns)
+    values = [F.coalesce(F.col(f"`{a}`").cast("string"), F.lit("")) for a in attrs]
+    hashes = (F.xxhash64(F.lit(k), *values).alias(f"h{k}") for k in range(2))
+    return records.withColumn(name, F.struct(F.col(id_col).alias("id"), *hashes)), name
+
+
 def sums(records: DataFrame, vocabulary: Vocabulary, seed=gauss.SEED, oov: str = "reference", id_col: str = "id") -> DataFrame:
     """(id, sums, sign_error): the projection on every hyperplane; an error for records with a
-    term that sorts after all known ones. One row per id.
+    term that sorts after all known ones. One row per record: records of one id are signed each
+    by itself, and a repeated record has as many rows as it occurs.
 
-    Only the terms' numbers and weights are shuffled to their record; planes that can be broadcast
-    join them there, others are made there."""
+    Only the terms' numbers and weights are shuffled to their record, a repeated record's once a
+    task; planes that can be broadcast join them there, others are made there."""
     schema = vocabulary.schema
-    terms = weighted_terms(records, vocabulary, oov, id_col)
+    terms = weighted_terms(*_told_apart(records, schema, id_col), vocabulary, oov)
     shipped = vocabulary.counts.count() * schema.hash_count * 4 <= BROADCAST_BYTES
     if shipped:
         rows = terms.repartition("id").join(F.broadcast(planes(vocabulary, seed)), ["field_idx", "term_idx"], "left")
@@ -92,13 +106,16 @@ def sums(records: DataFrame, vocabulary: Vocabulary, seed=gauss.SEED, oov: str =
     else:
         rows = terms.join(F.broadcast(vocabulary.fields.select("field_idx", "field_offset", "dim")), "field_idx", "left")
         part = F.struct("field_idx", "pos", "weight", (F.col("field_offset") + F.col("term_idx")).alias("first"), "dim")
-    gathered = rows.groupBy("id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(F.col("term").isNotNull() & F.col("term_idx").isNull()).alias("failed"))
+    copies = F.count_if((F.col("field_idx") == 0) & (F.coalesce("pos", F.lit(0)) == 0))
+    gathered = rows.groupBy("id").agg(F.array_sort(F.collect_set(part)).alias("parts"), F.max(F.col("term").isNotNull() & F.col("term_idx").isNull()).alias("failed"), copies.alias("n"))
+    gathered = gathered.withColumn("block", F.explode(F.expr(f"sequence(0, cast((n - 1) div {TIMES} as int))")))
+    gathered = gathered.withColumn("copy", F.explode(F.expr(f"sequence(1, cast(least({TIMES}, n - block * {TIMES}) as int))")))
     zero = F.array_repeat(F.lit(0.0), schema.hash_count)
     total = zero
     for k in range(len(schema.fields)):
         total = _added(total, _field_sums(k, zero) if shipped else _made_sums(k, zero, seed))
     error = F.when(F.col("failed") & F.lit(oov == "reference"), F.lit("a term sorts after all that are known"))
-    return gathered.select("id", total.alias("sums"), error.alias("sign_error"))
+    return gathered.select(F.col("id.id").alias("id"), total.alias("sums"), error.alias("sign_error"))
 
 
 def packed(sums_: Column, hash_count: int, width: int, slack: float = SLACK) -> Column:
@@ -114,7 +131,7 @@ def packed(sums_: Column, hash_count: int, width: int, slack: float = SLACK) ->
 
 
 def sign(records: DataFrame, vocabulary: Vocabulary, seed=gauss.SEED, oov: str = "reference", id_col: str = "id", slack: float = SLACK) -> DataFrame:
-    """(id, signature array<bigint>, sign_error) of every id; no signature where there is an error.
+    """(id, signature array<bigint>, sign_error) of every record; no signature where there is an error.
     ``seed`` is a text, or a provider whose ``get`` gives a number for an index."""
     schema = vocabulary.schema
     rows = sums(records, vocabulary, seed, oov, id_col)

@@ -289,6 +289,32 @@ def test_infinities_that_cancel_give_zero_bits(spark):
     assert all(not bits[i // 4] >> i % 4 & 1 for i, x in enumerate(s) if math.isnan(x))
 
 
+@pytest.mark.parametrize("shipped", [True, False])
+def test_records_of_one_id_are_signed_each_by_itself(spark, monkeypatch, shipped):
+    """As if they had ids of their own; repeated records count as often as they occur."""
+    values = [("A B", "x"), ("C", "x"), ("A B", "x"), ("", None), ("", ""), ("C", "y"), ("A B", "x"), ("Z", "x"), (None, "C")]
+    ids = [1, 1, 1, 1, 1, None, None, 1, 1]
+    apart = spark.createDataFrame([(k, *v) for k, v in enumerate(values)], "id bigint, t string, u string")
+    schema = SchemaDef(16, 4, (FieldDef(("t",), (Transform("split"),)), FieldDef(("u",))))
+    learnt = learn(apart.where("id <> 7"), schema)
+    if not shipped:
+        monkeypatch.setattr(signature, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(signature, "TIMES", 2)
+    want = sorted((ids[r.id] or 0, r.signature or [], bool(r.sign_error)) for r in sign(apart, learnt).collect())
+    together = spark.createDataFrame([(i, *v) for i, v in zip(ids, values, strict=True)], "id bigint, t string, u string")
+    signed = lineage.cut(sign(together.repartition(3), learnt))
+    assert sorted((r.id or 0, r.signature or [], bool(r.sign_error)) for r in signed.collect()) == want
+    assert idx.postings(signed, "multiset").count() == 8 * 4 and idx.postings(signed).count() < 8 * 4
+    assert sign(together.limit(0), learnt).count() == 0
+
+
+def test_latest_of_equal_versions_is_settled(spark):
+    rows = [(1, f"n{k}", 1) for k in range(40)] + [(1, "old", 0), (2, None, 1)]
+    frame = spark.createDataFrame(rows, "id bigint, n string, version bigint")
+    got = {tuple(sorted((r.id, r.n or "") for r in idx.latest(frame.repartition(k)).collect())) for k in (1, 3, 7)}
+    assert len(got) == 1 and "old" not in str(got)
+
+
 def test_close_records_share_more(spark):
     words = [f"W{k} X{k % 7} Y{k % 5}" for k in range(60)]
     rows, schema = one_field(spark, words, 128, 4, (Transform("split"),))
