@@ -31,6 +31,8 @@ PARTS = "array<struct<position:int,kind:string,text:string,ref:string,caption:st
 
 _MEDIA = {"img": "image", "audio": "audio", "video": "video", "embed": "document", "object": "document", "source": "source"}
 _HIDDEN = {"script", "style", "template", "noscript", "head"}
+#: What may stand in a head; any other element ends one that has no end tag.
+_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "wbr"}
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -42,7 +44,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[list] = []
         self.text: list[str] = []
-        self.hidden = 0
+        self.hidden: list[str] = []
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -52,8 +54,10 @@ class _Reader(HTMLParser):
             self.parts.append(["text", text, None, None])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden == ["head"] and tag not in _HEAD:
+            self.hidden = []
         if tag in _HIDDEN:
-            self.hidden += 1
+            self.hidden.append(tag)
         elif tag in _MEDIA:
             given = dict(attrs)
             ref = given.get("src") or given.get("data")
@@ -68,7 +72,8 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+            if tag in self.hidden:
+                del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
         elif tag == "figcaption" and self.caption is not None:
             text = re.sub(r"\s+", " ", "".join(self.caption)).strip()
             self.caption = None

@@ -46,6 +46,21 @@ def shown(html):
     return re.sub(r"\s", "", unescape(re.sub(r"<[^>]*>", "", body)))
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<html><head><title>t</title><body>one<p>two", ["one", "two"]),
+        ("<head><meta a=b><p>one<script>x</script> two", ["one two"]),
+        ("<head><title>t</title></script></style></head>one", ["one"]),
+        ("one</head></script>two<script>x</script>three", ["onetwothree"]),
+        ("<head><noscript><p>x</p></noscript><title>t</title></head><p>one", ["one"]),
+    ],
+)
+def test_hidden_elements(html, want):
+    """A head may lack its end tag, and an end tag its element."""
+    assert [p["text"] for p in media.parse(html)] == want
+
+
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = media.sequences(pages).collect()
