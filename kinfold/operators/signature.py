@@ -95,8 +95,9 @@ def sums(records: DataFrame, vocabulary: Vocabulary, seed=gauss.SEED, oov: str =
     term that sorts after all known ones. One row per record: records of one id are signed each
     by itself, and a repeated record has as many rows as it occurs.
 
-    Only the terms' numbers and weights are shuffled to their record, a repeated record's once a
-    task; planes that can be broadcast join them there, others are made there."""
+    Only the terms' numbers and weights are shuffled to their record; planes that can be broadcast
+    join them there, others are made there. All copies of a repeated record meet in one task,
+    which holds its terms once."""
     schema = vocabulary.schema
     terms = weighted_terms(*_told_apart(records, schema, id_col), vocabulary, oov)
     shipped = vocabulary.counts.count() * schema.hash_count * 4 <= BROADCAST_BYTES
