@@ -333,6 +333,17 @@ def golden(spark):
     return stored, spark.createDataFrame([(0, GOLDEN_PROBE)], "id bigint, signature array<bigint>")
 
 
+@pytest.mark.parametrize("gathered", [32_000_000, 100])
+def test_equal_records_are_signed_once(spark, monkeypatch, gathered):
+    rows = spark.range(1000).select("id", F.concat(F.lit("A"), F.col("id") % 3).alias("t"))
+    learnt, placed, real = learn(rows, SchemaDef(16, 4, (FieldDef(("t",)),))), [], signature.weighted_terms
+    monkeypatch.setattr(signature, "GATHERED_BYTES", gathered, raising=False)
+    monkeypatch.setattr(signature, "weighted_terms", lambda *a: placed.append(real(*a)) or placed[-1])
+    got = sign(rows, learnt).collect()
+    assert len(got) == 1000 and len({(r.id % 3, tuple(r.signature)) for r in got}) == 3
+    assert placed[0].count() == 3
+
+
 def test_golden_matches(spark):
     stored, probe = golden(spark)
     got = idx.ranked(idx.match(probe, idx.postings(stored), stored.select("id", "first"))).collect()
