@@ -344,6 +344,42 @@ def test_equal_records_are_signed_once(spark, monkeypatch, gathered):
     assert placed[0].count() == 3
 
 
+@pytest.mark.parametrize("broadcast", [250_000, 0])
+@pytest.mark.parametrize("unique", [False, True])
+def test_matches_of_classes_are_those_of_ids(spark, monkeypatch, broadcast, unique):
+    """Equal signatures, several of one id, repeated rows and limits, against counting by hand."""
+    monkeypatch.setattr(idx, "BROADCAST_ROWS", broadcast, raising=False)
+    monkeypatch.setattr(idx, "TASK_ROWS", 10, raising=False)
+    rows = [(k, [k % 2, k % 3, 7, k % 5]) for k in range(40)] + [(k, [1, 2, 7, 4]) for k in (3, 3, 9)]
+    stored = spark.createDataFrame(rows, "id bigint, signature array<bigint>").repartition(3)
+    probes = stored.where("id < 10")
+    counts = {}
+    for q, a in rows:
+        for i, b in rows:
+            for c in range(4):
+                if q < 10 and a[c] == b[c]:
+                    counts.setdefault((q, i), []).append(c)
+    want = {k: len(set(v)) if unique else len(v) for k, v in counts.items()}
+    posted = idx.postings(stored, "multiset")
+    found = idx.match(probes, posted, unique=unique)
+    assert sorted((r.query_id, r.id, r.matches) for r in found.collect()) == sorted((*k, n) for k, n in want.items())
+    if broadcast:
+        assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs of ids are not shuffled
+    got = idx.match(probes, posted, unique=unique, min_matches=2, limit=3)
+    best = [sorted((-n, i) for (q, i), n in want.items() if q == p and n >= 2)[:3] for p in range(10)]
+    assert sorted((r.query_id, -r.matches, r.id) for r in got.collect()) == sorted((p, *x) for p in range(10) for x in best[p])
+
+
+def test_min_matches_of_an_index(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"n{k}", [k % 2, k % 3, 7], None) for k in range(12)], "id bigint, n string, signature array<bigint>, sign_error string")
+    index = idx.Index(spark, f"{tmp_path}/i")
+    for version in (1, 2):
+        index.write(rows.select("id", "n"), rows.select("id", "signature", "sign_error"), version)
+    got = index.query(rows.where("id = 0"), min_matches=2)
+    assert [(r.id, r.n, r.matches) for r in got.collect()] == [(0, "n0", 3), (6, "n6", 3), *((k, f"n{k}", 2) for k in (2, 3, 4, 8, 9, 10))]
+    assert sorted(index.query(rows.where("id = 0"), best_first=False, min_matches=2).collect()) == sorted(got.collect())
+
+
 def test_golden_matches(spark):
     stored, probe = golden(spark)
     got = idx.ranked(idx.match(probe, idx.postings(stored), stored.select("id", "first"))).collect()
