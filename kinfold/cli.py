@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 from kinfold.functions import gauss
 from kinfold.operators.index import Index
+from kinfold.operators.lineage import cut
 from kinfold.operators.signature import sign
 from kinfold.operators.vocabulary import Vocabulary, learn
 from kinfold.plans.definitions import SchemaDef, SourceDef
@@ -53,7 +54,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         learn(records, SchemaDef.from_json(Path(a.schema).read_text())).save(a.out)
         return 0
     vocabulary = Vocabulary.load(spark, a.schema)
-    signed = sign(records, vocabulary, oov=a.oov)
+    signed = cut(sign(records, vocabulary, oov=a.oov))
     index = Index(spark, a.index, a.mode)
     if a.command == "index":
         index.write(records, signed, time.time_ns())
